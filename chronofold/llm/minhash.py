@@ -3,9 +3,9 @@
 Documents with one and the same shingle set form a class, represented by its smallest id.  Many universal hash minima
 are banded; in each bucket every representative is paired with the bucket's smallest id only.  Pairs whose signatures
 agree well enough are confirmed on full shingle sets, and confirmed links give components by alternating large-star
-and small-star.  Buckets that still hold several components are then taken up again: pairs across components, from
-small buckets directly and from large ones after splitting them by a further band, which similar texts share too.
-So no bucket emits all its pairs, and no link that the bands can see is lost.
+and small-star.  Buckets that still hold several components are then taken up again, chained into clusters: a task
+compares documents of different components that share a band, merging components as it finds links, so a pair is
+looked at only while it can still matter.  No pairs are emitted but links, and no link that the bands can see is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ._common import Tables, texts
 
 #: A pair at the threshold 0.8 shares no band with probability (1 - 0.8**5)**32, about 3 in a million.
 BANDS, ROWS = 32, 5
-#: A larger bucket is split by a further band before pairs are made in it.
-SMALL_BUCKET = 48
+#: A cluster of mixed buckets with more documents is compared block by block.
+BLOCK = 2000
 
 
 def word_hashes(batch: pa.Array, fold: bool):
@@ -189,6 +189,73 @@ def _confirm(percent: int):
     return run
 
 
+class _Cluster:
+    """Documents of one cluster (or of two of its blocks), taken in order, with a union-find over their components."""
+
+    def __init__(self, percent: int, hashes: int):
+        self.percent, self.least = percent, hashes * percent / 100 - 6 * (hashes * percent * (100 - percent)) ** 0.5 / 100
+        self.docs, self.sets, self.bands, self.sigs, self.at, self.root = [], [], [], [], [], {}
+
+    def find(self, x):
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def links(self) -> list[tuple[int, int]]:
+        import numpy as np
+
+        out, bands, sigs = [], np.array(self.bands), np.array(self.sigs)
+        sizes = np.array([len(s) for s in self.sets])
+        parts = np.array([self.find(c) for c in self.at])
+        for k in range(1, len(self.docs)):
+            near = np.flatnonzero(parts[:k] != parts[k])
+            n = sizes[k]
+            near = near[(100 * sizes[near] >= self.percent * n) & (100 * n >= self.percent * sizes[near])]
+            near = near[(bands[near] == bands[k]).any(axis=1)]
+            near = near[(sigs[near] == sigs[k]).sum(axis=1) >= self.least]
+            for o in near.tolist():
+                x, y = parts[k], parts[o]
+                if x == y:
+                    continue
+                a, b = self.sets[k], self.sets[o]
+                at = np.searchsorted(a, b)
+                at[at == len(a)] = 0
+                shared = int((a[at] == b).sum())
+                if 100 * shared >= self.percent * (len(a) + len(b) - shared):
+                    out.append((self.docs[o], self.docs[k]))
+                    self.root[max(x, y)] = min(x, y)
+                    parts[parts == max(x, y)] = min(x, y)
+        return out
+
+
+def _across(size: int, percent: int, hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        key, now = None, None
+
+        def ended():
+            links = now.links() if now and len(now.docs) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                for s, cluster, x, y, doc, part, bands, sig in zip(shingle_sets(b["text"], size), *(b[c].to_pylist() for c in ("cluster", "x", "y", "doc_id", "component", "bands", "sig"))):
+                    if (cluster, x, y) != key:
+                        yield ended()
+                        key, now = (cluster, x, y), _Cluster(percent, hashes)
+                    now.docs.append(doc)
+                    now.sets.append(s)
+                    now.bands.append(bands)
+                    now.sigs.append(np.frombuffer(sig, np.uint8))
+                    now.at.append(part)
+        yield ended()
+
+    return run
+
+
 def connected_components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
     """(node, component) of every node of the edges (a, b); component: its smallest node.
 
@@ -238,30 +305,30 @@ class NearDedup:
         t.drop(f"{name}-near", f"{name}-sets")
         return out
 
-    def crossing(self, members: DataFrame, parts: DataFrame | None) -> DataFrame | None:
-        """Distinct pairs (a, b) of different components that share a bucket."""
-        t, found, level = self.tables, [], 0
-        now = members.select(F.col("bucket").alias("key"), "doc_id")
-        if parts is not None:
-            now = now.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        else:
-            now = now.select("key", "doc_id", F.col("doc_id").alias("component"))
-        while True:
-            mixed = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "rows")
-            now = t.write(now.join(mixed, "key"), f"mixed-{level}")
-            few = now.where(F.col("rows") <= SMALL_BUCKET) if level < 3 else now
-            x, y = (few.select("key", F.col("doc_id").alias(d), F.col("component").alias(c)) for d, c in (("a", "ca"), ("b", "cb")))
-            found.append(x.join(y, "key").where("a < b and ca <> cb").select("a", "b"))
-            many = now.where(F.col("rows") > SMALL_BUCKET)
-            if level == 3 or many.isEmpty():
-                break
-            again = many.select("key", "doc_id", "component").join(members.select("doc_id", "bucket"), "doc_id")
-            now = again.select(F.xxhash64("key", "bucket", F.lit(level)).alias("key"), "doc_id", "component").distinct()
-            level += 1
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
-        return out.distinct()
+    def crossing(self, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """Links (a, b) between different components that share a bucket; enough of them to join what belongs together.
+
+        Buckets with several components are chained into clusters.  A cluster is compared within one task, or, when it
+        has over BLOCK documents, block by block, each pair of blocks in a task of its own.
+        """
+        t = self.tables
+        own = F.coalesce("component", "doc_id").alias("component")
+        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "lead", own)
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        stars = t.write(placed.join(mixed, "bucket").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "component").distinct(), "mixed")
+        if stars.isEmpty():
+            return stars.select("a", "b")
+        clusters = connected_components(stars.select("a", "b"), t, "cluster").withColumnRenamed("component", "cluster")
+        docs = stars.select(F.col("b").alias("doc_id"), "component").distinct()
+        docs = docs.join(clusters, docs["doc_id"] == clusters["node"], "left").select("doc_id", "component", F.coalesce("cluster", "doc_id").alias("cluster"))
+        blocks = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+        docs = docs.join(blocks, "cluster").select("doc_id", "component", "cluster", "k", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("i"))
+        full = docs.join(self.reps.select("doc_id", "bands", "sig"), "doc_id").join(self.docs.where("doc_id is not null"), "doc_id")
+        # every block meets every other one: (least, greatest) of the two block numbers
+        spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+        spread = spread.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "bands", "sig", "text")
+        rows = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
+        return t.write(rows.mapInArrow(_across(self.size, self.percent, self.bands * self.rows), "a long, b long"), "crossing")
 
     def run(self) -> DataFrame:
         t = self.tables
@@ -275,13 +342,11 @@ class NearDedup:
         stars = t.write(members.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
         links = self.confirmed(stars, "star")
         parts = connected_components(links, t, "first")
-        rest = t.write(self.crossing(members, parts).join(stars, ["a", "b"], "left_anti"), "crossing")
-        if not rest.isEmpty():
-            more = self.confirmed(rest, "cross")
-            if not more.isEmpty():
-                every = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-                parts = connected_components(every, t, "second")
-        t.drop("members", "stars", "crossing", "star-links", "cross-links", *[k for k in t.paths if k.startswith("mixed")])
+        more = self.crossing(members, parts)
+        if not more.isEmpty():
+            every = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+            parts = connected_components(every, t, "second")
+        t.drop("members", "stars", "mixed", "crossing", "star-links", *[k for k in t.paths if k.startswith("cluster")])
         classes = self.reps.select("fp", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("found"))
         out = features.select("doc_id", "n", "fp").join(classes, "fp", "left")
         alone = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("found").isNull()
