@@ -87,3 +87,26 @@ class Tables:
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) and nothing else, so extra columns can't clash; a null text stays null."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+class Memo(dict):
+    """A dict with two generations: when `most` entries are new, the older ones go, but for those used again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def room(self, new: int) -> None:
+        """Call before adding `new` entries."""
+        if len(self) + new > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def known(self, key) -> bool:
+        """Is the key here?  An older entry moves to the new generation."""
+        if key in self:
+            return True
+        if key in self.old:
+            self[key] = self.old[key]
+            return True
+        return False

@@ -9,48 +9,85 @@ one is cut, so windows come out full.  What is left at the end of a task is cut
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Tables, texts
+from ._common import Memo, Tables, texts
 
 K1, B = 1.2, 0.75
 _encoders: dict[str, tuple] = {}
+#: A word as (core, marks that the tokenizer's pattern splits off after a letter).
+CORE_AND_MARKS = r"(?s)^(?P<core>.*?)(?P<marks>[.,;:!?]*)$"
 
 
 def _encoder(path: str):
-    """(tokenizer, memo of words) of this worker."""
+    """(tokenizer, memo of words and marks) of this worker."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        _encoders[path] = (Tokenizer.from_file(path), Memo(500_000))
     return _encoders[path]
 
 
-def tokenized(path: str, raw: list[bytes], kind: str, most: int = 250_000) -> list[bytes]:
-    """Packed ids of texts.  This vocabulary drops white space and no token crosses it, so words are encoded once."""
+def _encoded(path: str, words: list[bytes], kind: str) -> list[bytes]:
+    """Packed ids of distinct words; those met before come from the memo."""
     tok, memo = _encoder(path)
-    split = [t.split() for t in raw]
-    new = list({w for ws in split for w in ws if w not in memo})
-    if len(memo) + len(new) > most:
-        memo.clear()
-        new = list({w for ws in split for w in ws})
-    if new:
-        import numpy as np
+    memo.room(len(words))
+    out = list(map(memo.get, words))
+    new = []
+    for i in [i for i, v in enumerate(out) if v is None]:
+        w = words[i]
+        v = memo.old.get(w)
+        if v is None:
+            new.append(i)
+        else:
+            memo[w] = out[i] = v
+    width = "H" if kind == "<u2" else "I"
+    for k in range(0, len(new), 20_000):
+        part = new[k : k + 20_000]
+        found = tok.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
+        for i, e in zip(part, found):
+            memo[words[i]] = out[i] = array(width, e.ids).tobytes()
+    return out
+
+
+def _distinct(path: str, words: pa.Array, kind: str) -> pa.Array:
+    """Packed ids of distinct words.  Marks after a letter are split off; case goes only where nothing can compose."""
+    both = pc.extract_regex(words, CORE_AND_MARKS)
+    core, marks = both.field("core").cast(pa.large_string()), both.field("marks").cast(pa.large_string())
+    apart = pc.match_substring_regex(core, r"\pL$")
+    core, marks = pc.if_else(apart, core, words), pc.if_else(apart, marks, "")
+    core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+    out = []
+    for part in (core, marks):
+        coded = part.dictionary_encode()
+        ids = _encoded(path, coded.dictionary.cast(pa.large_binary()).to_pylist(), kind)
+        out.append(pa.array(ids, pa.large_binary()).take(coded.indices))
+    return pc.binary_join_element_wise(*out, pa.scalar(b"", pa.large_binary()))
+
+
+def tokenized(path: str, text: pa.Array, kind: str) -> list[bytes]:
+    """Packed ids of texts.  This vocabulary drops white space and no token crosses it, so words are encoded once."""
+    import numpy as np
 
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, found))
-    get = memo.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+    lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
+    coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+    if not len(coded):
+        return [b""] * len(text)
+    joined = _distinct(path, coded.dictionary, kind).take(coded.indices)
+    places = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    raw = memoryview(joined.buffers()[2])
+    cuts = places[ends - ends[0]].tolist()
+    return [bytes(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
 def _tokens(path: str, end_id: int, size: int, kind: str):
@@ -61,9 +98,9 @@ def _tokens(path: str, end_id: int, size: int, kind: str):
         tail = np.array([end_id], kind).tobytes()
         names = ["doc_id", "n", "key", "tokens", "df"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                packed = [x + tail for x in tokenized(path, [(t or "").encode() for t in b["text"].to_pylist()], kind)]
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                packed = [x + tail for x in tokenized(path, b["text"], kind)]
                 keys, ns = [], []
                 for p in packed:
                     ids = np.frombuffer(p, kind)
