@@ -52,15 +52,21 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+#: For jobs whose output is a written table: shuffle files go when the job ends, and rows with long texts or packed
+#: keys reach Python in small batches.
+_JOB = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Jobs inside drop their shuffle files when they end; right for jobs whose output is a written table."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def job_settings(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _JOB}
+    for k, v in _JOB.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Tables:
@@ -72,7 +78,7 @@ class Tables:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = new_path(self.spark, name)
-        with shuffles_freed(self.spark):
+        with job_settings(self.spark):
             df.write.option("compression", codec).parquet(path)
         self.drop(name)
         self.paths[name] = path

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,19 @@ def sliding(h, w: int, least: bool):
     return h
 
 
+def slices(batch: pa.RecordBatch, column: str = "body", most: int = 1 << 20, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes in the column, one row at least."""
+    import numpy as np
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    at, n = 0, batch.num_rows
+    while at < n:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right"))
+        end = min(max(end, at + 1), at + rows, n)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def runs(m, starts, counts):
     """(first window, windows, document) of each maximal run of equal minimizers; starts, counts: windows of documents."""
     import numpy as np
@@ -56,7 +70,7 @@ def runs(m, starts, counts):
     real = counts > 0
     edge[starts[real]] += 1
     edge[starts[real] + counts[real]] -= 1
-    valid = np.cumsum(edge[:-1]).astype(bool)
+    valid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
     change = np.empty(len(m), bool)
     change[:1] = True
     np.not_equal(m[1:], m[:-1], out=change[1:])
@@ -99,8 +113,7 @@ def _seen(keys_of: Callable, bits: int, most: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "segment", "keys"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 300):
-                b = whole.slice(at, 300)
+            for b in slices(whole):
                 of = b["row"].to_numpy() >> 33
                 for s in np.unique(of).tolist():
                     part = b.filter(pa.array(of == s)) if (of != s).any() else b
@@ -157,10 +170,10 @@ def _twice():
     return run
 
 
-def repeated_keys(rows: DataFrame, tables: Tables, keys_of: Callable, most: int = 1_500_000) -> DataFrame:
+def repeated_keys(rows: DataFrame, tables: Tables, keys_of: Callable, most: int = 600_000) -> DataFrame:
     """Written table (segment, keys): each segment's minimizers that repeat somewhere."""
-    n = buckets_for(tables)
-    seen = rows.select("row", "body").mapInArrow(_seen(keys_of, n.bit_length() - 1, most), "bucket int, segment long, keys binary")
+    n = buckets_for(tables)  # tasks; four ranges for each, so that hashing deals them evenly
+    seen = rows.select("row", "body").mapInArrow(_seen(keys_of, n.bit_length() + 1, most), "bucket int, segment long, keys binary")
     dealt = seen.repartition(n, "bucket").sortWithinPartitions("bucket")
     return tables.write(dealt.mapInArrow(_twice(), "segment long, keys binary"), "repeated", "none")
 
@@ -191,14 +204,13 @@ def is_in(values, keys):
     return keys[at] == values
 
 
-def segments(batches: Iterator[pa.RecordBatch], docs: int = 300) -> Iterator[tuple]:
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """From by_segment(answers as kind 0, documents as kind 1): (segment, its sorted keys, rows, doc_ids, bodies)."""
     import numpy as np
 
     segment, keys, raw = None, None, []
     for whole in batches:
-        for at in range(0, whole.num_rows, docs):
-            b = whole.slice(at, docs)
+        for b in slices(whole):
             seg, kind = b["segment"].to_numpy(), b["kind"].to_numpy()
             cut = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (kind[1:] != kind[:-1])])
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(seg)]):

@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import hadoop, remove, shuffles_freed
+from ._common import hadoop, job_settings, remove
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class ShardedTable:
 
     def _write(self, df: DataFrame, version: int) -> list[Shard]:
         folder = f"{self.root}/shards/{version:010d}-{uuid.uuid4().hex[:8]}"
-        with shuffles_freed(self.spark):
+        with job_settings(self.spark):
             df.write.parquet(folder)
         fs, p = hadoop(self.spark, folder)
         found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")]

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Tables
-from ._repeats import by_segment, is_in, numbered, repeated_keys, runs, segments, sliding
+from ._repeats import by_segment, is_in, numbered, repeated_keys, runs, segments, slices, sliding
 from .minhash import mix
 
 K = 16
 #: Bytes that the vectorised quicksort orders before blind tries take over.
 SHALLOW = 32
-#: Contents of one minimizer above which its windows are grouped by value instead.
-MANY = 2000
+#: Contents of one minimizer above which its windows are grouped by value instead: some 2 MB of bytes in one task.
+MANY = 20_000
 #: A long text is cut into overlapping parts of this many bytes.
 PART = 4 << 20
 
@@ -77,7 +77,7 @@ def _keys(span: int):
 PIECE = "m long, g long, rank long, row long, pos long, n int"
 
 
-def _pieces_out(span: int, most: int = 1_500_000):
+def _pieces_out(span: int, most: int = 400_000):
     """Repeated pieces: the first document's of each content in a segment; n = -bytes: covered bytes of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +193,15 @@ class BlindTrie:
                 yield node[1]
 
 
-def sorted_classes(buffer: bytes, at, span: int):
-    """Class number of each suffix, in order of its first `span` bytes; equal prefixes share a class.  64 spare bytes end the buffer."""
+def sorted_classes(buffer: bytes, at, span: int, within=None):
+    """Class number of each suffix, in order of its first `span` bytes; equal prefixes share a class.  64 spare bytes end the buffer.
+
+    within: for each suffix the number of the first one of its group, where only members of a group can be equal.
+    """
     import numpy as np
 
     n = len(at)
-    group, live = np.zeros(n, np.int64), np.arange(n)
+    group, live = np.zeros(n, np.int64) if within is None else within.copy(), np.arange(n)
     deep: list = []
     # shallow: multikey quicksort, eight bytes as one character; lone suffixes drop out
     for depth in range(0, SHALLOW, 8):
@@ -242,7 +245,7 @@ def sorted_classes(buffer: bytes, at, span: int):
     return group
 
 
-CONTENT = "m long, rank long, row long, pos long, n int, content binary"
+CONTENT = "m long, rank long, row long, pos long, n int, content binary, hot boolean"
 
 
 def _contents(span: int):
@@ -251,19 +254,19 @@ def _contents(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, now = [], None
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
+            for b in slices(whole, most=4 << 20):
                 out = []
                 for kind, row, x, n, extra, body in zip(*(b[c].to_pylist() for c in ("kind", "row", "a", "b", "doc_id", "body"))):
                     if row != now:
                         wanted, now = [], row
                     if kind == 0:
-                        wanted.append((extra, int(body), x, n))
+                        rank, hot = map(int, body.split())
+                        wanted.append((extra, rank, x, n, bool(hot)))
                     else:
-                        out += [(m, rank, row, x, n, body[x : x + n + span - 1]) for m, rank, x, n in wanted]
+                        out += [(m, rank, row, x, n, body[x : x + n + span - 1], hot) for m, rank, x, n, hot in wanted]
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["m", "rank", "row", "pos", "n", "content"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["m", "rank", "row", "pos", "n", "content", "hot"])
 
     return run
 
@@ -275,7 +278,7 @@ def _span_batch(row, s, e) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (row, s, e)], ["row", "s", "e"])
 
 
-def _sorted_pieces(span: int, most: int = 8 << 20):
+def _sorted_pieces(span: int, most: int = 3 << 20):
     """Whole minimizer groups, several at a time, to covered spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +293,11 @@ def _sorted_pieces(span: int, most: int = 8 << 20):
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             piece = np.repeat(np.arange(len(n)), n)
             inside = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-            cls = sorted_classes(b"".join(content) + bytes(64), starts[piece] + inside, span)
+            # equal windows have one minimizer, so each minimizer's suffixes are a group of their own
+            m = np.array(m, np.int64)
+            new = np.r_[True, m[1:] != m[:-1]]
+            lead = np.r_[0, np.cumsum(n)[:-1]][new][np.cumsum(new) - 1]
+            cls = sorted_classes(b"".join(content) + bytes(64), starts[piece] + inside, span, lead[piece])
             order = np.lexsort((rank[piece], cls))
             c = cls[order]
             lead = np.r_[True, c[1:] != c[:-1]]
@@ -322,8 +329,7 @@ def _finish():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, now = [], None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for b in slices(whole, most=4 << 20):
                 out = []
                 for kind, row, s, e, doc, body in zip(*(b[c].to_pylist() for c in ("kind", "row", "a", "b", "doc_id", "body"))):
                     if row != now:
@@ -364,25 +370,30 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     tables.drop("repeated")
     pieces = found.where("n > 0")
     # the smallest document of each content; contents of each minimizer
-    owners = tables.write(pieces.groupBy("m", "g").agg(F.min("rank").alias("least")), "owners", "none")
+    owners = tables.write(pieces.groupBy("m", "g").agg(F.min("rank").alias("least")), "owners")
     several = owners.groupBy("m").agg(F.count("*").alias("contents")).where("contents > 1")
-    owners = tables.write(owners.join(several, "m", "left"), "contents", "none")
+    owners = tables.write(owners.join(several, "m", "left"), "contents")
     tables.drop("owners")
-    placed = tables.write(pieces.join(owners, ["m", "g"]), "placed")
-    copies = placed.where("rank > least").select("row", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + span - 1).alias("e"))
-    firsts = placed.where("rank = least and contents > 1").select("m", "rank", "row", "pos", "n", "contents")
-    hot = firsts.where(F.col("contents") > MANY).select("m").distinct()
-    wanted = firsts.select("row", F.lit(0).alias("kind"), F.col("pos").alias("a"), F.col("n").cast("long").alias("b"), F.col("m").alias("doc_id"), F.col("rank").cast("string").cast("binary").alias("body"))
+    placed = pieces.join(owners, ["m", "g"])
+    first = (F.col("rank") == F.col("least")) & F.col("contents").isNotNull()
+    when = lambda c: F.when(first, c)
+    columns = (when(F.col("m")).alias("m"), when(F.col("rank")).alias("rank"), "row", "pos", "n", when(F.col("contents") > MANY).alias("hot"))
+    settled = found.where("n < 0").select(F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("rank"), "row", "pos", "n", F.lit(None).cast("boolean").alias("hot"))
+    placed = tables.write(placed.where((F.col("rank") > F.col("least")) | first).select(*columns).union(settled), "placed")
+    tables.drop("pieces", "contents")
+    end = F.when(F.col("n") > 0, F.col("pos") + F.col("n") + span - 1).otherwise(F.col("pos") - F.col("n"))
+    copies = placed.where("m is null").select("row", F.col("pos").alias("s"), end.alias("e"))
+    extra = F.concat_ws(" ", F.col("rank").cast("string"), F.col("hot").cast("int").cast("string")).cast("binary")
+    wanted = placed.where("m is not null").select("row", F.lit(0).alias("kind"), F.col("pos").alias("a"), F.col("n").cast("long").alias("b"), F.col("m").alias("doc_id"), extra.alias("body"))
     whole = tables.write(by_segment(wanted, bodies).mapInArrow(_contents(span), CONTENT), "whole")
-    usual = whole.join(hot, "m", "left_anti").repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_pieces(span), SPANS)
-    windows = whole.join(hot, "m", "left_semi").select("rank", "row", "pos", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(content, i + 1, {span}))")).alias("i", "window"))
-    first = windows.groupBy("window").agg(F.min("rank").alias("least"))
-    many = windows.join(first, "window").where("rank > least").select("row", (F.col("pos") + F.col("i")).alias("s"), (F.col("pos") + F.col("i") + span).alias("e"))
+    usual = whole.where("not hot").drop("hot").repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_pieces(span), SPANS)
+    windows = whole.where("hot").select("rank", "row", "pos", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(content, i + 1, {span}))")).alias("i", "window"))
+    least = windows.groupBy("window").agg(F.min("rank").alias("least"))
+    many = windows.join(least, "window").where("rank > least").select("row", (F.col("pos") + F.col("i")).alias("s"), (F.col("pos") + F.col("i") + span).alias("e"))
     covered = tables.write(usual.union(many), "covered")
-    tables.drop("whole", "contents")
-    local = found.where("n < 0").select("row", F.col("pos").alias("s"), (F.col("pos") - F.col("n")).alias("e"))
-    spans = copies.union(covered).union(local).select("row", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
+    tables.drop("whole")
+    spans = copies.union(covered).select("row", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
     out = tables.write(by_segment(spans, bodies).mapInArrow(_finish(), FINAL), "kept")
-    tables.drop("numbered", "pieces", "placed", "covered")
+    tables.drop("numbered", "placed", "covered")
     return out
 
