@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Tables
-from ._repeats import by_segment, is_in, numbered, repeated_keys, runs, segments, sliding
+from ._repeats import by_segment, is_in, numbered, repeated_keys, runs, segments, slices, sliding
 from .minhash import join_hashes, word_hashes
 
 K = 8
@@ -92,7 +92,7 @@ def _path_batch(row, pos, n, orow, opos, h=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, ["h", "row", "pos", "n", "orow", "opos"])
 
 
-def _edges(span: int, seed: int, most: int = 1_500_000):
+def _edges(span: int, seed: int, most: int = 600_000):
     """First edges of each segment (n = 0), and paths of the others, labelled with the first of their segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +162,7 @@ def _finish(span: int):
 
         spans, asked, now = [], [], None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for b in slices(whole, most=4 << 20):
                 out = []
                 for kind, row, x, n, doc, body in zip(*(b[c].to_pylist() for c in ("kind", "row", "a", "b", "doc_id", "body"))):
                     if row != now:
