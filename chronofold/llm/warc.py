@@ -155,5 +155,6 @@ def write_warc(pages: DataFrame, least: int = 100, level: int = 1) -> tuple[str,
 
 def read_warc(spark: SparkSession, folder: str, index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20, payloads: bool = True) -> DataFrame:
     """The records that index rows select, by coalesced byte-range reads; digests of read payloads are checked."""
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    files = max(1, index.select("file").distinct().count())
+    rows = index.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_reader(folder, gap, most, payloads), RECORD)
