@@ -16,7 +16,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import texts
+from ._common import Memo, texts
 
 MARK = "▁"
 
@@ -24,7 +24,7 @@ MARK = "▁"
 class PrefixTable:
     """Encoder for a sentencepiece BPE model with byte fallback, identity normaliser and dummy prefix."""
 
-    def __init__(self, model_file: str, memo: int = 300_000):
+    def __init__(self, model_file: str, memo: int = 250_000):
         import ahocorasick
         import sentencepiece
 
@@ -42,7 +42,9 @@ class PrefixTable:
         self.automaton.make_automaton()
         breaks = "".join(re.escape(c) for c in "\n\r\t" if not any(c in p for p in self.ids))
         self.chunks = re.compile(f"{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" + (f"|[{breaks}]+" if breaks else ""))
-        self.memo, self.most, self.pairs = {}, memo, {}
+        self.memo, self.pairs = Memo(memo), {}
+        joined = {(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)}
+        self.loose = "".join(c for c in ".,;:!?" if not any(b == c and a.isalnum() for a, b in joined))
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost among equals."""
@@ -62,7 +64,7 @@ class PrefixTable:
         """May t follow p?  With an empty p: does t encode as itself?"""
         got = self.pairs.get((p, t))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             got = self.pairs[p, t] = self.merged(p + t) == ([p, t] if p else [t])
         return got
@@ -71,15 +73,20 @@ class PrefixTable:
         """Ids of a string whose every character is a piece."""
         last: list[str | None] = [None] * (len(s) + 1)
         last[0] = ""
+        known, test = self.pairs.get, self.compatible
         for end, piece in self.automaton.iter(s):
-            start = end + 1 - len(piece)
-            before = last[start]
-            if last[end + 1] is None and before is not None and self.compatible(before, piece):
-                last[end + 1] = piece
-        out, i = [], len(s)
+            end += 1
+            if last[end] is None:
+                before = last[end - len(piece)]
+                if before is not None:
+                    fits = known((before, piece))
+                    if test(before, piece) if fits is None else fits:
+                        last[end] = piece
+        out, i, ids = [], len(s), self.ids
         while i:
-            out.append(self.ids[last[i]])
-            i -= len(last[i])
+            piece = last[i]
+            out.append(ids[piece])
+            i -= len(piece)
         return out[::-1]
 
     def chunk(self, s: str) -> tuple[int, ...]:
@@ -97,19 +104,33 @@ class PrefixTable:
             i = j
         return tuple(out)
 
+    def _one(self, c: str) -> tuple[int, ...]:
+        memo = self.memo
+        if memo.known(c):
+            return memo[c]
+        ids = self.chunk(c)
+        if len(c) < 100:
+            memo[c] = ids
+        return ids
+
+    def _split(self, c: str) -> tuple[int, ...]:
+        """Ids of a chunk; marks at its end that no piece joins to what stands before are encoded apart."""
+        core = c.rstrip(self.loose)
+        if not core or core == c or not core[-1].isalnum():
+            return self._one(c)
+        return self._one(core) + self._one(c[len(core) :])
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         parts, memo = self.chunks.findall(MARK + text.replace(" ", MARK)), self.memo
-        try:
-            return list(chain.from_iterable([memo[c] for c in parts]))
-        except KeyError:
-            if len(memo) > self.most:
-                memo.clear()
-            for c in parts:
-                if c not in memo and len(c) < 100:
-                    memo[c] = self.chunk(c)
-            return list(chain.from_iterable([memo[c] if c in memo else self.chunk(c) for c in parts]))
+        found = list(map(memo.get, parts))
+        if None in found:
+            memo.room(len(parts))
+            for i, v in enumerate(found):
+                if v is None:
+                    found[i] = self._split(parts[i])
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.model.decode(ids, num_threads=1) if ids else []
