@@ -83,15 +83,15 @@ def base_failed() -> Column:
 #: What the rules may test: each a SQL expression over the statistics.
 FEATURES = {
     "n_words": "double(n_words)",
-    "word_length": "coalesce(word_chars / n_words, 0)",
-    "symbol_share": "coalesce(n_symbols / n_words, 0)",
-    "dup_line_share": "coalesce(n_dup_lines / n_lines, 0)",
-    "repeat_share": "coalesce(n_repeat_words / n_words, 0)",
-    "distinct_share": "coalesce(n_distinct / n_words, 0)",
-    "digit_share": "coalesce(n_digits / n_chars, 0)",
-    "upper_share": "coalesce(n_upper / n_chars, 0)",
-    "stop_share": "coalesce(n_stops / n_words, 0)",
-    "words_per_line": "coalesce(n_words / n_lines, 0)",
+    "word_length": "coalesce(try_divide(word_chars, n_words), 0)",
+    "symbol_share": "coalesce(try_divide(n_symbols, n_words), 0)",
+    "dup_line_share": "coalesce(try_divide(n_dup_lines, n_lines), 0)",
+    "repeat_share": "coalesce(try_divide(n_repeat_words, n_words), 0)",
+    "distinct_share": "coalesce(try_divide(n_distinct, n_words), 0)",
+    "digit_share": "coalesce(try_divide(n_digits, n_chars), 0)",
+    "upper_share": "coalesce(try_divide(n_upper, n_chars), 0)",
+    "stop_share": "coalesce(try_divide(n_stops, n_words), 0)",
+    "words_per_line": "coalesce(try_divide(n_words, n_lines), 0)",
 }
 
 
