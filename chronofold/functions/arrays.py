@@ -55,3 +55,67 @@ def pearson(x: Column, y: Column) -> Column:
     dot = total(F.zip_with(a, b, lambda u, v: u * v))
     size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v)))
     return F.when(size > 0, dot / size).otherwise(0.0)
+
+
+def scaled_to(x: Column, size: Column, target: float) -> Column:
+    """The window times target / size; a window of size 0 stays 0."""
+    return F.transform(x, lambda v: v * (target / (size + 1e-7)))
+
+
+def rolled(x: Column, by: Column) -> Column:
+    """Circular shift: the last `by` samples come first."""
+    n = F.size(x)
+    k = F.pmod(by, n)
+    return F.concat(F.slice(x, n - k + 1, k), F.slice(x, F.lit(1), n - k))
+
+
+def moved(x: Column, by: Column) -> Column:
+    """Shift to the right with zeros in front (to the left with zeros behind, where negative)."""
+    n = F.size(x)
+    k = F.least(F.abs(by), n).cast("int")
+    zeros = F.array_repeat(F.lit(0.0), k)
+    return F.when(by >= 0, F.concat(zeros, F.slice(x, F.lit(1), n - k))).otherwise(F.concat(F.slice(x, k + 1, n - k), zeros))
+
+
+def line_detrended(x: Column) -> Column:
+    """The window without its least-squares line."""
+    n = F.size(x)
+    centre = (n - 1) / 2.0
+    slope = total(F.transform(x, lambda v, i: v * (i - centre))) / ((n * (n * n - 1)) / 12.0)
+    m = mean(x)
+    return F.transform(x, lambda v, i: v - m - slope * (i - centre))
+
+
+def around_centre(x: Column, on: int, off: int) -> Column:
+    """(onsource, offsource) about the middle: offsource from before the window, edge-padded where short, else from
+    after it; null where the samples do not reach."""
+    n = F.size(x)
+    start = F.floor(n / 2).cast("int") - on // 2
+    end, tail = start + on, n - (start + on)
+    before = F.when(start >= off, F.slice(x, F.greatest(start - off, F.lit(0)) + 1, off)).otherwise(F.concat(F.array_repeat(x[0], F.greatest(off - start, F.lit(0))), F.slice(x, F.lit(1), F.greatest(start, F.lit(0)))))
+    after = F.when(tail >= off, F.slice(x, F.greatest(end, F.lit(0)) + 1, off)).otherwise(F.concat(F.slice(x, F.greatest(end, F.lit(0)) + 1, F.greatest(tail, F.lit(0))), F.array_repeat(F.element_at(x, -1), F.greatest(off - tail, F.lit(0)))))
+    found = F.when(start > 0, before).when(tail > 0, after)
+    return F.when((n >= on) & (start >= 0) & (tail >= 0) & found.isNotNull(), F.struct(F.slice(x, F.greatest(start, F.lit(0)) + 1, on).alias("onsource"), found.alias("offsource")))
+
+
+def subsection(x: Column, u: Column, on: int, off: int, margin: int = 16) -> Column:
+    """(start, onsource, offsource) at a drawn start in [off, n - on - margin); null where the window is too short."""
+    room = F.size(x) - on - margin - off
+    start = (off + F.least(F.floor(u * room), room - 1)).cast("int")
+    s = F.greatest(start, F.lit(off))
+    return F.when(room > 0, F.struct(s.alias("start"), F.slice(x, s + 1, on).alias("onsource"), F.slice(x, s - off + 1, off).alias("offsource")))
+
+
+def rolling_pearson(x: Column, y: Column, reach: int) -> Column:
+    """Correlation at each circular shift of y by reach, reach - 1, ..., 1 - reach samples."""
+    a, b = detrended(x), detrended(y)
+    size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v))) + 1e-5
+    n = F.size(b)
+    twice = F.concat(b, b)
+    at = lambda o: F.slice(twice, F.pmod(-(F.lit(reach) - o), n) + 1, n)
+    return F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 1)), lambda o: total(F.zip_with(a, at(o), lambda u, v: u * v)) / size)
+
+
+def even(x: Column) -> Column:
+    """The window without its last sample where their number is odd."""
+    return F.slice(x, F.lit(1), F.size(x) - F.size(x) % 2)
