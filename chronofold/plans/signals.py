@@ -160,9 +160,51 @@ def curriculum_table(spark, d):
     return x.select("epoch", *[F.round(R.between(F.col(s), 8.0, 20.0), 6).alias(s) for s in ("linear", "exponential", "cosine", "step")])
 
 
+def _noisy(spark, d):
+    """Windows with a background of 256 samples of white noise."""
+    k = F.col("vec_id")
+    return D.windows(spark, d).select("vec_id", "samples", V.white_noise(256, k, "background").alias("background"))
+
+
+def whitened_windows(spark, d):
+    w = _noisy(spark, d).select("vec_id", P.whitened(F.col("background"), F.col("background"), RATE, highpass=4.0).alias("w"))
+    return w.select("vec_id", _sum(A.centre_crop(F.col("w"), 128), 4).alias("whitened"), F.round(A.root_sum_square(F.col("w"), RATE), 6).alias("hrss"))
+
+
+def injection_snrs(spark, d):
+    return _noisy(spark, d).select("vec_id", F.round(P.snr(F.col("samples"), F.col("background"), RATE, 64, 32), 6).alias("snr"))
+
+
+def projected_waves(spark, d):
+    """A wave seen by each detector: antenna pattern times polarisations, later by its delay."""
+    net, k = G.network({i: G.SITES[i] for i in IFOS}), F.col("p_partkey")
+    ra, dec = G.sky(k, "sky")
+    h = V.sine_gaussian(N, 1.0, F.col("f"), F.lit(9.0), F.lit(1.0), F.col("phase"))
+    w = _parts(spark, d).select("p_partkey", h.alias("h"), ra.alias("ra"), dec.alias("dec"), F.col("phase").alias("psi"))
+    cols = []
+    for i, det in net.items():
+        plus, _ = G.antenna(det, F.col("ra"), F.col("dec"), F.col("psi"))
+        cols.append(P.shifted(F.transform("h", lambda v, g=plus: v * g), G.delay(det, F.col("ra"), F.col("dec")), RATE).alias(i))
+    return w.select("p_partkey", *cols).select("p_partkey", *[_sum(F.col(i)).alias(i) for i in IFOS])
+
+
+def coloured_windows(spark, d):
+    """White noise with the spectrum of another window."""
+    w = D.windows(spark, d).select("vec_id", P.pseudo_real(V.white_noise(N, F.col("vec_id"), "colour"), F.col("samples"), RATE, 32).alias("c"))
+    return w.select("vec_id", _sum("c").alias("coloured"))
+
+
+def noise_bursts(spark, d):
+    k = F.col("p_partkey")
+    w = _parts(spark, d).select("p_partkey", P.bursts(V.white_noise(N, k, "burst"), RATE, F.col("count") / RATE, F.col("f"), F.col("f") + 8).alias("b"))
+    return w.select("p_partkey", _sum("b").alias("burst"))
+
+
+#: The last five have no SQL form; tests hold their kernels against direct sums.
 QUERIES = (
     periodic_waves, pulse_waves, inspiral_limits, inspiral_waves, white_windows, welch_density, spectrogram_frames, resampled_windows, matched_filter, series_triggers, shift_correlation, line_residuals,
     scaled_windows, window_extraction, drawn_subsections, augmented_windows, injected_windows, antenna_patterns, distribution_draws, curriculum_table,
+    whitened_windows, injection_snrs, projected_waves, coloured_windows, noise_bursts,
 )
 
 

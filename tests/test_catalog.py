@@ -17,7 +17,7 @@ def plain(v):
     return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, name):
     import duckdb
 
