@@ -27,46 +27,67 @@ CORE_AND_MARKS = r"(?s)^(?P<core>.*?)(?P<marks>[.,;:!?]*)$"
 
 
 def _encoder(path: str):
-    """(tokenizer, memo of words and marks) of this worker."""
+    """(tokenizer, memo of words and marks, a special token as (bytes, id) or None) of this worker."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), Memo(500_000))
+        tok = Tokenizer.from_file(path)
+        plain = [(t.content.encode(), i) for i, t in tok.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        _encoders[path] = (tok, Memo(500_000), max(plain, default=None))
     return _encoders[path]
 
 
+def _fresh(tok, mark: tuple[bytes, int] | None, words: list[bytes], width: str, together: int = 256) -> list[bytes]:
+    """Packed ids of words.  Many words make one input, kept apart by a special token; it is cut out of a text before
+    anything else happens to it, so each word is encoded as if alone.  A group whose words hold the token goes singly."""
+    import numpy as np
+
+    def singly(part):
+        return [array(width, e.ids).tobytes() for e in tok.encode_batch_fast(list(map(bytes.decode, part)), add_special_tokens=False)]
+
+    if mark is None:
+        return singly(words)
+    groups = [words[k : k + together] for k in range(0, len(words), together)]
+    out, kind = [], np.dtype(width)
+    for part, e in zip(groups, tok.encode_batch_fast([mark[0].join(g).decode() for g in groups], add_special_tokens=False)):
+        ids = np.frombuffer(array("I", e.ids), np.uint32)
+        cuts = np.flatnonzero(ids == mark[1])
+        if len(cuts) != len(part) - 1:
+            out += singly(part)
+            continue
+        raw, size = ids.astype(kind).tobytes(), kind.itemsize
+        ends = (cuts * size).tolist()
+        out += [raw[a:b] for a, b in zip([0, *[c + size for c in ends]], [*ends, len(raw)])]
+    return out
+
+
 def _encoded(path: str, words: list[bytes], kind: str) -> list[bytes]:
     """Packed ids of distinct words; those met before come from the memo."""
-    tok, memo = _encoder(path)
+    tok, memo, mark = _encoder(path)
     memo.room(len(words))
-    out = list(map(memo.get, words))
-    new = []
-    for i in [i for i, v in enumerate(out) if v is None]:
-        w = words[i]
-        v = memo.old.get(w)
-        if v is None:
-            new.append(i)
-        else:
-            memo[w] = out[i] = v
+    known, older = memo.get, memo.old
+    new = [w for w in words if w not in memo]
+    if older:
+        memo.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in older]
     width = "H" if kind == "<u2" else "I"
     for k in range(0, len(new), 20_000):
         part = new[k : k + 20_000]
-        found = tok.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
-        for i, e in zip(part, found):
-            memo[words[i]] = out[i] = array(width, e.ids).tobytes()
-    return out
+        memo.update(zip(part, _fresh(tok, mark, part, width)))
+    return list(map(known, words))
 
 
 def _distinct(path: str, words: pa.Array, kind: str) -> pa.Array:
-    """Packed ids of distinct words.  Marks after a letter are split off; case goes only where nothing can compose."""
+    """Packed ids of distinct words.  Marks after a letter are split off; case goes only in words of ASCII letters:
+    nothing composes there, and no special token comes of it."""
     both = pc.extract_regex(words, CORE_AND_MARKS)
     core, marks = both.field("core").cast(pa.large_string()), both.field("marks").cast(pa.large_string())
     apart = pc.match_substring_regex(core, r"\pL$")
     core, marks = pc.if_else(apart, core, words), pc.if_else(apart, marks, "")
-    core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+    core = pc.if_else(pc.match_substring_regex(core, r"^[A-Za-z]+$"), pc.ascii_lower(core), core)
     out = []
     for part in (core, marks):
         coded = part.dictionary_encode()

@@ -234,3 +234,18 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_words_encode_as_in_whole_texts():
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from chronofold.llm import packing as P
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["", None, "a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|startoftext|>Ä é.", "x y don't 42's !!", "<|endoftext|>", "U.S. é Å Ḱ", " ".join(f"w{i} Word{i}." for i in range(700))]
+    got = P.tokenized(path, pa.array(texts), "<u2")
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
