@@ -239,8 +239,8 @@ def oracle_sql() -> dict[str, str]:
     normal = f"""CASE WHEN p < 0.02425 THEN {tail('sqrt(-2 * ln(p))')} WHEN p > 0.97575 THEN -{tail('sqrt(-2 * ln(1 - p))')} ELSE {horner('((p - 0.5) * (p - 0.5))', R.ACKLAM_A)} * (p - 0.5) / ({horner('((p - 0.5) * (p - 0.5))', R.ACKLAM_B)} * ((p - 0.5) * (p - 0.5)) + 1) END"""
     lo, hi = (R.NormalDist().cdf(z) for z in (-1.5, 2.5))
     return {
-        "periodic_waves": f"""WITH {parts} SELECT p_partkey, round({dot(f'amp * sin({phi}) * {env}')}, 5) AS sine, round({dot(f'amp * sign(sin({phi})) * {env}')}, 5) AS square,
-            round({dot(f'amp * {saw} * {env}')}, 5) AS sawtooth, round({dot(f'amp * (2 * abs({saw}) - 1) * {env}')}, 5) AS triangle FROM p""",
+        "periodic_waves": f"""WITH {parts} SELECT p_partkey, round({dot(f'amp * sin({phi}) * {env}')}, 5) + 0.0 AS sine, round({dot(f'amp * sign(sin({phi})) * {env}')}, 5) + 0.0 AS square,
+            round({dot(f'amp * {saw} * {env}')}, 5) + 0.0 AS sawtooth, round({dot(f'amp * (2 * abs({saw}) - 1) * {env}')}, 5) + 0.0 AS triangle FROM p""",
         "pulse_waves": f"""WITH {parts}, q AS (SELECT *, 9.0 / (f * sqrt(2) * pi()) AS w FROM p) SELECT p_partkey,
             round({dot(f'amp * sin({tau} * f * ({t} - 0.5) + phase) * exp(-pow({t} - 0.5, 2) / (2 * w * w))')}, 5) AS sine_gaussian, round({dot(f'amp * sin({tau} * (f * {t} + f * {t} * {t}) + phase) * {env}')}, 5) AS chirplet,
             round({dot(f'amp * sin({phi}) * exp(-{t} / 0.25)')}, 5) AS ringdown, round({dot(env)}, 5) AS envelope FROM q""",
