@@ -249,3 +249,25 @@ def test_words_encode_as_in_whole_texts():
     texts = ["", None, "a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|startoftext|>Ä é.", "x y don't 42's !!", "<|endoftext|>", "U.S. é Å Ḱ", " ".join(f"w{i} Word{i}." for i in range(700))]
     got = P.tokenized(path, pa.array(texts), "<u2")
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_neighbours_use_all_terms_of_the_seed():
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    items = [[i, 0, g.integers(0, 300, g.integers(30, 120)).astype("<u2"), 0] for i in range(40)]
+    items.append([40, 0, np.r_[np.arange(300, 340), 340].astype("<u2"), 0])  # 41 terms; shares only the lightest one
+    items.append([41, 0, np.array([340] * 3, "<u2"), 0])
+    idf, average = np.r_[g.random(300) + 0.5, np.full(40, 5.0), 0.5], 70.0
+    index = packing.Shard(items, idf, average)
+
+    def bm25(seed, other):
+        ids = other.tolist()
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids) / average)
+        return sum(idf[t] * ids.count(t) * (packing.K1 + 1) / (ids.count(t) + norm) for t in set(seed.tolist()) & set(ids))
+
+    for seed in range(len(items)):
+        want = [bm25(items[seed][2], x[2]) for x in items]
+        got = index.neighbours(seed)
+        assert sorted(got.tolist()) == [k for k, s in enumerate(want) if s > 0]
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
