@@ -95,6 +95,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def carried(keep: tuple[str, ...]) -> list:
+    """Columns that an operator carries along: one struct, out of reach of its own names; nothing for no columns."""
+    return [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")] if keep else []
+
+
 class Memo(dict):
     """A dict with two generations: when `most` entries are new, the older ones go, but for those used again."""
 

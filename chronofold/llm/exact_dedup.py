@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import SPACE, Tables, texts
+from ._common import SPACE, Tables, carried
 
 
 def common_prefix(a: bytes, i: int, b: bytes) -> int:
@@ -172,7 +173,7 @@ class Patricia:
 _LOCAL = "row long, doc_id long, owner long, n long, h long, sha string, least long, rows long, body binary"
 
 
-def _local(budget: int):
+def _local(budget: int, along: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         held, tries, size = [], {}, 0
@@ -187,8 +188,9 @@ def _local(budget: int):
                         pa.array(rows, pa.int64()), batch["doc_id"], pa.array(owner, pa.int64()), batch["n"], batch["h"], batch["sha"],
                         pa.array([None if e.least[0] else e.least[1] for e in ends], pa.int64()), pa.array([e.rows for e in ends], pa.int64()),
                         pc.if_else(mine, batch["body"].cast(pa.large_binary()), nulls).cast(pa.binary()),
+                        *(batch[c] for c in along),
                     ],
-                    ["row", "doc_id", "owner", "n", "h", "sha", "least", "rows", "body"],
+                    ["row", "doc_id", "owner", "n", "h", "sha", "least", "rows", "body", *along],
                 )
             held.clear()
             tries.clear()
@@ -238,21 +240,24 @@ def _owner_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["owner", "keep_row", "keep_id", "group_size"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_mb: int = 48) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_mb: int = 48, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256; `keep`: columns of the input row, as the
+    struct `row`.
 
     A null text counts as empty.  A null id sorts after every other id.  Of rows repeated with the same id and text one
     is kept (the first in scan order).  An empty table gives an empty result.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
-    source = texts(docs, id_col, text_col).select("doc_id", body.alias("body"))
-    source = source.select("doc_id", F.octet_length("body").cast("long").alias("n"), F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), F.col("body").cast("binary").alias("body"))
-    local = tables.write(source.mapInArrow(_local(budget_mb << 20), _LOCAL), "local")
+    body = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"{SPACE}+", " ")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *carried(keep))
+    along = ["__row"] if keep else []
+    source = source.select("doc_id", F.octet_length("body").cast("long").alias("n"), F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), F.col("body").cast("binary").alias("body"), *along)
+    schema = StructType([*StructType.fromDDL(_LOCAL), *(source.schema[c] for c in along)])
+    local = tables.write(source.mapInArrow(_local(budget_mb << 20, along), schema), "local")
     owners = local.where("body is not null").select("row", "n", "h", "least", "rows", "body").repartition("n", "h")
     final = owners.select("row", "least", "rows", "body").mapInArrow(_owners(budget_mb << 20), "owner long, keep_row long, keep_id long, group_size long")
-    every = local.select("row", "doc_id", "owner", "sha").join(final, "owner", "left")
+    every = local.select("row", "doc_id", "owner", "sha", *along).join(final, "owner", "left")
     alone = F.col("group_size").isNull()
     return every.select(
         "doc_id",
@@ -260,6 +265,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *(F.col(c).alias("row") for c in along),
     )
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, SPACE_CHARS, Tables, texts
+from ._common import SPACE, SPACE_CHARS, Tables, carried
 
 #: Below 2**20 words a window's hash and place share one long, which sorts as a primitive.
 _PACK = 20
@@ -45,11 +45,12 @@ def _repeats(w: Column) -> tuple:
     return packed, found, place, top, at, hashed
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the word statistics of each whole text; a null text has none of anything."""
-    d = texts(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the word statistics of each whole text; a null text has none of anything.  `keep`: as `__row`."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carried(keep))
+    along = ["__row"] if keep else []
     d = d.select(
-        "doc_id", words(F.col("text")).alias("w"),
+        *along, "doc_id", words(F.col("text")).alias("w"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length("text").cast("long").alias("n_chars"),
         F.length(F.regexp_replace("text", f"{SPACE}+", "")).cast("long").alias("word_chars"),
@@ -68,7 +69,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = F.when(short, F.transform(found(p, top, place), place)).when(F.size(w) >= 3, long_places).otherwise(F.array().cast("array<int>"))
     d = d.select("*", F.sort_array(places).alias("places"))
     return d.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        *along, "doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("places")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
@@ -211,14 +212,16 @@ def sample_labels(stats: DataFrame, labels: DataFrame, most: int) -> tuple[list[
     return [{f: r[f] for f in FEATURES} for r in rows], [r["quality"] == 0 for r in rows]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, precision: float = 0.95) -> DataFrame:
-    """One row per input row: doc_id, statistics, base_failed, rule (0: none held), kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, precision: float = 0.95, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, statistics, base_failed, rule (0: none held), kept; `keep`: columns of the input
+    row, as the struct `row`.
 
     most_labels bounds the labelled rows that the rules are learned from; statistics and verdicts cover every row.
     Null texts count as empty and fail the base rule; null or unlabelled ids take part in everything but learning;
     repeated rows each get their row; an empty table or no labels gives no rules; extra columns are ignored.
     """
-    stats = Tables(docs.sparkSession).write(statistics(docs), "statistics")
+    stats = Tables(docs.sparkSession).write(statistics(docs, keep=keep), "statistics")
     rules = learn(*sample_labels(stats, labels, most_labels), precision=precision)
     d = stats.select("*", base_failed().alias("base_failed"), verdict(rules).alias("rule"))
-    return d.select("*", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    d = d.select("*", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    return d.withColumnRenamed("__row", "row")

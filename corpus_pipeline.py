@@ -16,24 +16,32 @@ from chronofold.llm.queries import table, tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents that a verdict keeps; ids are unique in what the pipeline reads."""
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _kept(verdicts: DataFrame) -> DataFrame:
+    """The rows that a verdict keeps, each by its own: ids may be null or repeated."""
+    return verdicts.where("kept").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
-    return _kept(docs, quality_rules.quality_rules(docs, table(spark, sf_dir, "labels")))
+    return _kept(quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), keep=COLUMNS))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _kept(docs, exact_dedup.exact_dedup(docs))
+    return _kept(exact_dedup.exact_dedup(docs, keep=COLUMNS))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, by five-word shingles."""
-    return _kept(docs, minhash.near_dedup(docs, shingle=5))
+    """One document of each near-duplicate component, by five-word shingles.
+
+    Rows that repeat an id are compared like any others: near_dedup takes row numbers, written once and in the order of
+    the ids, so the smallest id of a component stays.  Where the id is null, so is the number: near_dedup keeps these.
+    """
+    order = ("doc_id", F.xxhash64("text"))
+    rows = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
+    rows = Tables(spark).write(rows, "numbered").withColumn("number", F.when(F.col("doc_id").isNotNull(), F.col("number")))
+    out = minhash.near_dedup(rows, id_col="number", shingle=5).where("not kept").select(F.col("doc_id").alias("number"))
+    return rows.join(out, "number", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

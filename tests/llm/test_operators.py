@@ -271,3 +271,34 @@ def test_neighbours_use_all_terms_of_the_seed():
         got = index.neighbours(seed)
         assert sorted(got.tolist()) == [k for k, s in enumerate(want) if s > 0]
         assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_pipeline_settles_rows_not_ids(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    g = random.Random(8)
+    a, b, c, d, e, f, h, k = (" ".join(g.sample(WORDS, 90 + i)) for i in range(8))
+    like = lambda t: t + " " + g.choice(WORDS)
+    rows = [(1, a), (2, a.replace(" ", "\n")), (7, like(a)), *[(3, b)] * 5, (None, c), *[(None, d)] * 3, (None, like(a)), (4, "too short"), (None, "too short"), (None, None), (4, e), (5, f), (5, like(f)), (8, like(f)), (6, h), (6, k), (None, h)]
+    g.shuffle(rows)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    good = [(i, t) for i, t in rows if not B.base_statistics(t)[5]]
+    texts = {}
+    for i, t in sorted(good, key=lambda r: (r[0] is None, r[0] or 0)):
+        texts.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t), (i, t))
+    left = sorted((r for r in texts.values() if r[0] is not None), key=lambda r: r[0])
+    found = B.near_components(list(enumerate(t for _, t in left)), 5)
+    want = [r for n, r in enumerate(left) if found[n][1] == n] + [r for r in texts.values() if r[0] is None]
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids) + 1
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).where("start = 0").collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in want) == {1: 1, 3: 1, 4: 1, 5: 1, 6: 2, None: 3}
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.doc_id != 5) == Counter((i, size(t)) for i, t in want if i != 5)
