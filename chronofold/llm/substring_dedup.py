@@ -3,8 +3,9 @@
 Windows of 20 words are the edges of a de Bruijn graph whose nodes are 19 words.  Only edges that can repeat become
 rows (minimizers that occur once are gone before).  A segment keeps the first of its equal edges, so one edge
 meets in one place with a row for each segment at most.  There each later occurrence is labelled with the coordinates
-of the first.  Edges that follow each other in a document and whose labels advance together form a nonbranching path
-and compact into one row (document, start, edges, source document, source start).  Joins with digests of the words at
+of the first.  Edges that follow each other in a document and whose labels advance together are a path, and compact by
+coordinates in NumPy into one row (document, start, edges, source document, source start); nodes and degrees are not
+formed, and branching is not tested.  Joins with digests of the words at
 both coordinates verify every path; a hash collision makes the whole run start again with another seed.
 """
 
