@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,20 @@ def carried(keep: tuple[str, ...]) -> list:
     return [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row")] if keep else []
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about `most` bytes in the column; one that has more stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        n = b[column].nbytes
+        if held and size + n > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Memo(dict):
     """A dict with two generations: when `most` entries are new, the older ones go, but for those used again."""
 

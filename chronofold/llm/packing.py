@@ -1,8 +1,8 @@
 """Lexical retrieval packing: sequences of like documents, filled from a sharded BM25 index.
 
-Documents become token ids once and are written with a locality key (a min-hash of their id pairs).  Document
-frequencies of all documents are summed by id, so they are bounded by the vocabulary.  A range exchange on (key,
-doc_id) brings like documents together and deals equal keys out to any number of tasks.  A task takes its documents in
+Documents become token ids once and are written.  Document frequencies of all documents are summed by id, so they are
+bounded by the vocabulary.  A document's locality key is its two leading terms, drawn by BM25 weight.  A range exchange
+on (key, doc_id) brings like documents together and deals equal keys out to any number of tasks.  A task takes its documents in
 shards, builds an inverted index of each, and fills the window of each seed with its best unused neighbours; the last
 one is cut, so windows come out full.  What is left at the end of a task is cut at powers of two.  A seed meets only
 the documents of its own shard; README item 6 gives the recall of that.
@@ -10,135 +10,86 @@ the documents of its own shard; README item 6 gives the recall of that.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Memo, Tables, texts
+from ._common import Tables, gathered, texts
+from .minhash import mix
+from .word_bpe import tokenized
 
 K1, B = 1.2, 0.75
-_encoders: dict[str, tuple] = {}
-#: A word as (core, marks that the tokenizer's pattern splits off after a letter).
-CORE_AND_MARKS = r"(?s)^(?P<core>.*?)(?P<marks>[.,;:!?]*)$"
+#: Power of BM25 weights in the draw of leading terms.
+FOCUS = 4
 
 
-def _encoder(path: str):
-    """(tokenizer, memo of words and marks, a special token as (bytes, id) or None) of this worker."""
-    if path not in _encoders:
-        import os
+def _tokens(path: str, end_id: int, size: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        df, docs, total = np.zeros(size, np.int64), 0, 0
+        tail = np.array([end_id], kind).tobytes()
+        names = ["doc_id", "n", "tokens", "df"]
+        for b in gathered(batches, "text", 12 << 20):
+            packed = [x + tail for x in tokenized(path, b["text"], kind)]
+            ns = []
+            for p in packed:
+                ids = np.frombuffer(p, kind)
+                df[np.unique(ids)] += 1
+                ns.append(len(ids))
+            docs += len(ns)
+            total += sum(ns)
+            out = pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ns, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(ns), pa.list_(pa.int64()))], names)
+            for at in range(0, len(ns), 1000):
+                yield out.slice(at, 1000)
+        stats = pa.array([[docs, total, *df.tolist()]], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), stats], names)
 
-        tok = Tokenizer.from_file(path)
-        plain = [(t.content.encode(), i) for i, t in tok.get_added_tokens_decoder().items() if not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
-        _encoders[path] = (tok, Memo(500_000), max(plain, default=None))
-    return _encoders[path]
+    return run
 
 
-def _fresh(tok, mark: tuple[bytes, int] | None, words: list[bytes], width: str, together: int = 256) -> list[bytes]:
-    """Packed ids of words.  Many words make one input, kept apart by a special token; it is cut out of a text before
-    anything else happens to it, so each word is encoded as if alone.  A group whose words hold the token goes singly."""
-    import numpy as np
+def weights(tf, idf, length, average: float):
+    """BM25 weight of a term with this frequency and idf in a document of this length."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
-    def singly(part):
-        return [array(width, e.ids).tobytes() for e in tok.encode_batch_fast(list(map(bytes.decode, part)), add_special_tokens=False)]
-
-    if mark is None:
-        return singly(words)
-    groups = [words[k : k + together] for k in range(0, len(words), together)]
-    out, kind = [], np.dtype(width)
-    for part, e in zip(groups, tok.encode_batch_fast([mark[0].join(g).decode() for g in groups], add_special_tokens=False)):
-        ids = np.frombuffer(array("I", e.ids), np.uint32)
-        cuts = np.flatnonzero(ids == mark[1])
-        if len(cuts) != len(part) - 1:
-            out += singly(part)
-            continue
-        raw, size = ids.astype(kind).tobytes(), kind.itemsize
-        ends = (cuts * size).tolist()
-        out += [raw[a:b] for a, b in zip([0, *[c + size for c in ends]], [*ends, len(raw)])]
-    return out
-
-
-def _encoded(path: str, words: list[bytes], kind: str) -> list[bytes]:
-    """Packed ids of distinct words; those met before come from the memo."""
-    tok, memo, mark = _encoder(path)
-    memo.room(len(words))
-    known, older = memo.get, memo.old
-    new = [w for w in words if w not in memo]
-    if older:
-        memo.update((w, older[w]) for w in new if w in older)
-        new = [w for w in new if w not in older]
-    width = "H" if kind == "<u2" else "I"
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        memo.update(zip(part, _fresh(tok, mark, part, width)))
-    return list(map(known, words))
-
-
-def _distinct(path: str, words: pa.Array, kind: str) -> pa.Array:
-    """Packed ids of distinct words.  Marks after a letter are split off; case goes only in words of ASCII letters:
-    nothing composes there, and no special token comes of it."""
-    both = pc.extract_regex(words, CORE_AND_MARKS)
-    core, marks = both.field("core").cast(pa.large_string()), both.field("marks").cast(pa.large_string())
-    apart = pc.match_substring_regex(core, r"\pL$")
-    core, marks = pc.if_else(apart, core, words), pc.if_else(apart, marks, "")
-    core = pc.if_else(pc.match_substring_regex(core, r"^[A-Za-z]+$"), pc.ascii_lower(core), core)
-    out = []
-    for part in (core, marks):
-        coded = part.dictionary_encode()
-        ids = _encoded(path, coded.dictionary.cast(pa.large_binary()).to_pylist(), kind)
-        out.append(pa.array(ids, pa.large_binary()).take(coded.indices))
-    return pc.binary_join_element_wise(*out, pa.scalar(b"", pa.large_binary()))
-
-
-def tokenized(path: str, text: pa.Array, kind: str) -> list[bytes]:
-    """Packed ids of texts.  This vocabulary drops white space and no token crosses it, so words are encoded once."""
-    import numpy as np
 
-    lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
-    coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
-    if not len(coded):
-        return [b""] * len(text)
-    joined = _distinct(path, coded.dictionary, kind).take(coded.indices)
-    places = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    raw = memoryview(joined.buffers()[2])
-    cuts = places[ends - ends[0]].tolist()
-    return [bytes(raw[i:j]) for i, j in zip(cuts, cuts[1:])]
+def locality(packed: list[bytes], kind: str, idf, average: float) -> list[int]:
+    """Key of each document: its two leading terms, drawn by BM25 weight to the power FOCUS.
 
+    A term leads where its weight times its own fixed random number is the largest (a weighted min-hash), so documents
+    share a leading term the more often, the more weight they share.  Terms are hashed, so no end of the range collects
+    the long documents.
+    """
+    import numpy as np
 
-def _tokens(path: str, end_id: int, size: int, kind: str):
+    raw = [np.frombuffer(p, kind) for p in packed]
+    lengths = np.array([len(x) for x in raw], np.int64)
+    both = (np.repeat(np.arange(len(raw), dtype=np.int64), lengths) << 32) | np.concatenate([*raw, np.zeros(0, kind)]).astype(np.int64)
+    both.sort()
+    new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
+    tf, doc, term = np.diff(np.r_[new, len(both)]), both[new] >> 32, both[new] & 0xFFFFFFFF
+    hashed = mix(np.arange(1, len(idf) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    draw = -np.log(-np.log(((hashed >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52))
+    rank = draw[term] + FOCUS * np.log(np.maximum(weights(tf, idf[term], lengths[doc], average), 1e-12))
+    order = np.lexsort((-rank, doc))
+    starts = np.searchsorted(doc, np.arange(len(raw) + 1))
+    name = (hashed >> np.uint64(33)).astype(np.int64)
+    at, lone = starts[:-1], np.minimum(starts[:-1] + 1, starts[1:] - 1)
+    return np.where(starts[1:] > at, (name[term[order[np.minimum(at, len(order) - 1)]]] << 31) | name[term[order[np.minimum(lone, len(order) - 1)]]], 0).tolist() if len(order) else [0] * len(raw)
+
+
+def _keyed(idf_list: list[float], average: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        df, docs, total = np.zeros(size, np.int64), 0, 0
-        tail = np.array([end_id], kind).tobytes()
-        names = ["doc_id", "n", "key", "tokens", "df"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                packed = [x + tail for x in tokenized(path, b["text"], kind)]
-                keys, ns = [], []
-                for p in packed:
-                    ids = np.frombuffer(p, kind)
-                    seen = np.unique(ids)
-                    df[seen] += 1
-                    ns.append(len(ids))
-                    if len(ids) > 1:
-                        pair = (ids[:-1].astype(np.uint64) << np.uint64(20)) ^ ids[1:]
-                        keys.append(int(((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).min()))
-                    else:
-                        keys.append(0)
-                docs += len(ns)
-                total += sum(ns)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(ns), pa.list_(pa.int64()))], names)
-        stats = pa.array([[docs, total, *df.tolist()]], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), stats], names)
+        idf = np.array(idf_list)
+        for b in batches:
+            keys = locality(b["tokens"].to_pylist(), kind, idf, average)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b["doc_id"], b["tokens"]], ["key", "doc_id", "tokens"])
 
     return run
 
@@ -155,7 +106,7 @@ class Shard:
         new = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
         tf = np.diff(np.r_[new, len(both)])
         item, term = both[new] >> 32, both[new] & 0xFFFFFFFF
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / average))
+        weight = weights(tf, idf[term], lengths[item], average)
         self.n, self.of_item = len(items), np.searchsorted(item, np.arange(len(items) + 1))
         self.term = term
         order = np.argsort(term, kind="stable")
@@ -169,19 +120,36 @@ class Shard:
         for k, c in enumerate(common):
             self.dense[k, self.items[self.starts[c] : self.stops[c]]] = self.weights[self.starts[c] : self.stops[c]]
 
-    def neighbours(self, seed: int):
-        """All items with a term in common with the seed, best BM25 score over all of its terms first."""
+    def scores(self, seed: int):
+        """BM25 score of every item for all terms of the seed."""
         import numpy as np
 
-        own = self.term[self.of_item[seed] : self.of_item[seed + 1]]
-        at = np.searchsorted(self.terms, own)
+        at = np.searchsorted(self.terms, self.term[self.of_item[seed] : self.of_item[seed + 1]])
         rows = self.row[at]
-        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        score = self.dense[rows[rows >= 0]].sum(axis=0)
         spans = [slice(a, b) for a, b in zip(self.starts[at[rows < 0]].tolist(), self.stops[at[rows < 0]].tolist())]
         if spans:
-            score += np.bincount(np.concatenate([self.items[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), minlength=self.n)
-        order = np.argsort(-score, kind="stable")
-        return order[score[order] > 0]
+            score = score + np.bincount(np.concatenate([self.items[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), minlength=self.n)
+        return score
+
+    def ranked(self, seed: int, free, first: int = 256) -> Iterator:
+        """Free items with a term in common with the seed, best score first: the best `first` of them, then the others."""
+        import numpy as np
+
+        score = self.scores(seed)
+        some = np.flatnonzero(free & (score > 0))
+        low = -score[some]
+        if len(some) > first:
+            top = low <= np.partition(low, first)[first]
+            yield some[top][np.argsort(low[top], kind="stable")]
+            some, low = some[~top], low[~top]
+        yield some[np.argsort(low, kind="stable")]
+
+    def neighbours(self, seed: int):
+        """All items with a term in common with the seed, best BM25 score over all of its terms first."""
+        import numpy as np
+
+        return np.concatenate(list(self.ranked(seed, np.ones(self.n, bool))))
 
 
 def fill(items: list, idf, average: float, window: int, last: bool) -> tuple[list[list], list]:
@@ -192,35 +160,35 @@ def fill(items: list, idf, average: float, window: int, last: bool) -> tuple[lis
     used = np.zeros(len(items), bool)
     sizes = np.array([len(x[2]) for x in items])
     left = int(sizes.sum())
+
+    def others():  # where no neighbours are left: any unused item
+        yield np.flatnonzero(~used)
+
     for seed in np.argsort(-sizes, kind="stable"):
         if used[seed]:
             continue
         if left < window:
             break
-        pieces, room = [items[seed]], window - sizes[seed]
+        pieces, room = [items[seed]], window - int(sizes[seed])
         used[seed] = True
-        near = index.neighbours(int(seed))
-        for group in (near, None):
-            if room == 0:
-                break
-            if group is None:  # no neighbours are left: any unused item
-                group = np.flatnonzero(~used)
-            group = group[~used[group]]
-            for k in group:
-                if sizes[k] <= room:
-                    pieces.append(items[k])
-                    used[k] = True
-                    room -= sizes[k]
-                    if room == 0:
-                        break
-            rest = group[~used[group]]
-            if room and len(rest):
-                k = rest[0]
+        for group in chain(index.ranked(int(seed), ~used), others()):
+            best = group
+            while len(group := group[sizes[group] <= room]):  # in order, each that still has room
+                fit = int(np.searchsorted(np.cumsum(sizes[group]), room, side="right"))
+                pieces += [items[k] for k in group[:fit].tolist()]
+                used[group[:fit]] = True
+                room -= int(sizes[group[:fit]].sum())
+                group = group[fit:]
+            best = best[~used[best]]
+            if room and len(best):
+                k = best[0]
                 doc, start, ids, n = items[k]
                 pieces.append([doc, start, ids[:room], n])
                 items[k] = [doc, start + int(room), ids[room:], n]
                 sizes[k] -= room
                 room = 0
+            if not room:
+                break
         left -= window - room
         out.append(pieces)
     rest = [items[k] for k in np.flatnonzero(~used)]
@@ -287,7 +255,7 @@ def _packer(idf_list: list[float], average: float, window: int, kind: str, shard
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 1024, shard_tokens: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 4096, shard_tokens: int = 3_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     A null text counts as empty: its document is the end id alone.  Null ids and repeated rows are documents of their
@@ -301,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int =
     spark = docs.sparkSession
     size = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    schema = "doc_id long, n long, key long, tokens binary, df array<bigint>"
+    schema = "doc_id long, n long, tokens binary, df array<bigint>"
     made = Tables(spark).write(texts(docs, id_col, text_col).mapInArrow(_tokens(tokenizer_file, end_id, size, kind), schema), "tokens")
     sums = made.where("n = -1").select(F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).where("c > 0").collect()
     counts = [0] * (size + 2)
@@ -309,5 +277,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int =
         counts[r["i"]] = r["c"]
     n_docs, total = counts[0], counts[1]
     idf = [math.log(1 + (n_docs - c + 0.5) / (c + 0.5)) for c in counts[2:]]
-    rows = made.where("n >= 0").select("key", "doc_id", "tokens").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens")
-    return rows.mapInArrow(_packer(idf, max(1.0, total / max(1, n_docs)), window, kind, shard_docs, shard_tokens), PIECES)
+    average = max(1.0, total / max(1, n_docs))
+    keyed = made.where("n >= 0").select("doc_id", "tokens").mapInArrow(_keyed(idf, average, kind), "key long, doc_id long, tokens binary")
+    rows = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens")
+    return rows.mapInArrow(_packer(idf, average, window, kind, shard_docs, shard_tokens), PIECES)

@@ -251,6 +251,43 @@ def test_words_encode_as_in_whole_texts():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_every_code_point_encodes_as_in_the_library():
+    import unicodedata
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    points = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cs", "Co", "Cn") or ord(c) % 97 == 0 and unicodedata.category(c) != "Cs"]
+    texts = [" ".join(f"x{c}. {c}! A{c}'S3" for c in points[k : k + 4000]) for k in range(0, len(points), 4000)]
+    got = packing.tokenized(path, pa.array(texts), "<u2")
+    for t, g in zip(texts, got):
+        assert tok.encode(t, add_special_tokens=False).ids == np.frombuffer(g, "<u2").tolist(), t[:20]
+
+
+def test_vocabularies_that_merge_otherwise_go_to_the_library(tmp_path):
+    import json
+
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from chronofold.llm import word_bpe
+
+    spec = json.loads(Path(tokenizer_path("word_bpe_49k.json")).read_text())
+    assert len(word_bpe.word_ranks(spec)) > 49_000
+    ids, merges = spec["model"]["vocab"], spec["model"]["merges"][:40]
+    merges += [["in", "th"], ["t", "h</w>"], ["in", "t"], ["int", "h</w>"]]  # the last one can't come about
+    spec["model"] |= {"merges": merges, "vocab": {t: i for t, i in ids.items() if i < 512} | {a + b: 512 + k for k, (a, b) in enumerate(merges)}}
+    assert word_bpe.word_ranks(spec) is None
+    path = f"{tmp_path}/other.json"
+    Path(path).write_text(json.dumps(spec))
+    got = word_bpe.tokenized(path, pa.array(["inth INTH, the thinth"]), "<u2")
+    assert np.frombuffer(got[0], "<u2").tolist() == Tokenizer.from_file(path).encode("inth INTH, the thinth", add_special_tokens=False).ids
+
+
 def test_neighbours_use_all_terms_of_the_seed():
     import numpy as np
 
