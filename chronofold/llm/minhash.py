@@ -25,8 +25,8 @@ BANDS, ROWS = 32, 5
 BLOCK = 2000
 
 
-def word_hashes(batch: pa.Array, fold: bool):
-    """(hash of every word, offsets of documents) for a string array; nulls have no words."""
+def word_hashes(batch: pa.Array, fold: bool, wide: bool = False):
+    """(hash of every word, offsets of documents) for a string array; nulls have no words.  wide: two hashes a word."""
     import numpy as np
     import xxhash
 
@@ -40,8 +40,12 @@ def word_hashes(batch: pa.Array, fold: bool):
         flat = flat.filter(pa.array(real))
     coded = flat.dictionary_encode()
     distinct = pc.ascii_lower(coded.dictionary) if fold else coded.dictionary
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
-    return (each[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.uint64)), offsets.astype(np.int64)
+    names = distinct.cast(pa.large_binary()).to_pylist()
+    if wide:
+        each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2)
+    else:
+        each = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    return each[coded.indices.to_numpy()] if len(each) else each, offsets.astype(np.int64)
 
 
 def mix(x):
