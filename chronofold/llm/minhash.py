@@ -3,9 +3,10 @@
 Documents with one and the same shingle set form a class, represented by its smallest id.  Many universal hash minima
 are banded; in each bucket every representative is paired with the bucket's smallest id only.  Pairs whose signatures
 agree well enough are confirmed on full shingle sets, and confirmed links give components by alternating large-star
-and small-star.  Buckets that still hold several components are then taken up again, chained into clusters: a task
-compares documents of different components that share a band, merging components as it finds links, so a pair is
-looked at only while it can still matter.  No pairs are emitted but links, and no link that the bands can see is lost.
+and small-star.  Buckets that still hold several components are then taken up again: their documents are compared by
+signatures, block by block where there are many, and those with a pair to be confirmed by their sets.  A task merges
+components as it finds links, so a pair is looked at only while it can still matter.  No pairs are emitted but links,
+and no link that the bands can see is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ._common import Tables, texts
 
 #: A pair at the threshold 0.8 shares no band with probability (1 - 0.8**5)**32, about 3 in a million.
 BANDS, ROWS = 32, 5
-#: A cluster of mixed buckets with more documents is compared block by block.
+#: A mixed bucket with more documents is compared block by block.
 BLOCK = 2000
 
 
@@ -141,11 +142,17 @@ def _features(size: int, bands: int, rows: int):
 
 
 def _sets(size: int):
+    """Sets of the texts that have the fingerprint given with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([s.tobytes() for s in shingle_sets(b["text"], size)], pa.binary())], ["doc_id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(b["text"], size)]
+                right = pa.array([xxhash.xxh3_128_digest(s) == fp for s, fp in zip(sets, b["fp"].to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "shingles"]).filter(right)
 
     return run
 
@@ -193,69 +200,91 @@ def _confirm(percent: int):
     return run
 
 
-class _Cluster:
-    """Documents of one cluster (or of two of its blocks), taken in order, with a union-find over their components."""
+class _Bucket:
+    """Documents of one bucket (or of two of its blocks) by arrays; pairs that may be links between components."""
 
-    def __init__(self, percent: int, hashes: int):
-        self.percent, self.least = percent, hashes * percent / 100 - 6 * (hashes * percent * (100 - percent)) ** 0.5 / 100
-        self.docs, self.sets, self.bands, self.sigs, self.at, self.root = [], [], [], [], [], {}
-
-    def find(self, x):
-        root = self.root
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
+    def __init__(self, rows: list[tuple], percent: int, hashes: int):
+        import numpy as np
 
-    def links(self) -> list[tuple[int, int]]:
+        self.key, (_, x, y) = rows[0][:3], rows[0][:3]
+        self.docs, self.own, self.block = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        self.size, self.bands = np.array([r[6] for r in rows], np.int64), np.array([r[7] for r in rows], np.int64)
+        self.sigs = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.across, self.percent = x != y, percent
+        self.least = hashes * percent / 100 - 6 * (hashes * percent * (100 - percent)) ** 0.5 / 100
+        self.band = int(np.flatnonzero(self.bands[0] == self.key[0])[0])
+
+    def near(self, k: int, parts):
+        """Earlier documents that document k may be linked with: in another part, of like size, with this bucket as the
+        first that both share, with signatures that agree well enough.  Two blocks meet here only across."""
         import numpy as np
 
-        out, bands, sigs = [], np.array(self.bands), np.array(self.sigs)
-        sizes = np.array([len(s) for s in self.sets])
-        parts = np.array([self.find(c) for c in self.at])
+        n = self.size[k]
+        at = np.flatnonzero((parts[:k] != parts[k]) & (100 * self.size[:k] >= self.percent * n) & (100 * n >= self.percent * self.size[:k]))
+        if self.across:
+            at = at[self.block[at] != self.block[k]]
+        if len(at):
+            at = at[(self.bands[at] == self.bands[k]).argmax(axis=1) == self.band]
+        return at[(self.sigs[at] == self.sigs[k]).sum(axis=1) >= self.least] if len(at) else at
+
+    def links(self, sets: list) -> list[tuple[int, int]]:
+        """Confirmed links; parts that one joins are one part for the pairs that follow."""
+        out, parts = [], self.own.copy()
         for k in range(1, len(self.docs)):
-            near = np.flatnonzero(parts[:k] != parts[k])
-            n = sizes[k]
-            near = near[(100 * sizes[near] >= self.percent * n) & (100 * n >= self.percent * sizes[near])]
-            near = near[(bands[near] == bands[k]).any(axis=1)]
-            near = near[(sigs[near] == sigs[k]).sum(axis=1) >= self.least]
-            for o in near.tolist():
-                x, y = parts[k], parts[o]
-                if x == y:
+            for o in self.near(k, parts).tolist():
+                if parts[k] == parts[o]:
                     continue
-                a, b = self.sets[k], self.sets[o]
-                at = np.searchsorted(a, b)
-                at[at == len(a)] = 0
-                shared = int((a[at] == b).sum())
-                if 100 * shared >= self.percent * (len(a) + len(b) - shared):
-                    out.append((self.docs[o], self.docs[k]))
-                    self.root[max(x, y)] = min(x, y)
-                    parts[parts == max(x, y)] = min(x, y)
+                shared, both = len(intersect(sets[k], sets[o])), len(sets[k]) + len(sets[o])
+                if 100 * shared >= self.percent * (both - shared):
+                    out.append((int(self.docs[o]), int(self.docs[k])))
+                    parts[parts == max(parts[k], parts[o])] = min(parts[k], parts[o])
         return out
 
 
-def _across(size: int, percent: int, hashes: int):
+def intersect(a, b):
+    import numpy as np
+
+    return np.intersect1d(a, b, assume_unique=True)
+
+
+PLACE = ("bucket", "x", "y", "doc_id", "component", "block", "n", "bands", "sig")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple) -> Iterator[list[tuple]]:
+    """Rows of one (bucket, x, y), which come one after the other."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b[c].to_pylist() for c in columns)):
+            if held and r[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _candidates(percent: int, hashes: int):
+    """Documents of a bucket that have a pair to be confirmed there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        for rows in _grouped(batches, PLACE):
+            g, found = _Bucket(rows, percent, hashes), set()
+            for k in range(1, len(rows)):
+                at = g.near(k, g.own).tolist()
+                found.update([*at, k] if at else ())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[k][i] for k in sorted(found)], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], list(PLACE[:4]))
 
-        key, now = None, None
+    return run
 
-        def ended():
-            links = now.links() if now and len(now.docs) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                for s, cluster, x, y, doc, part, bands, sig in zip(shingle_sets(b["text"], size), *(b[c].to_pylist() for c in ("cluster", "x", "y", "doc_id", "component", "bands", "sig"))):
-                    if (cluster, x, y) != key:
-                        yield ended()
-                        key, now = (cluster, x, y), _Cluster(percent, hashes)
-                    now.docs.append(doc)
-                    now.sets.append(s)
-                    now.bands.append(bands)
-                    now.sigs.append(np.frombuffer(sig, np.uint8))
-                    now.at.append(part)
-        yield ended()
+def _across(percent: int, hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for rows in _grouped(batches, (*PLACE, "shingles")):
+            links = _Bucket(rows, percent, hashes).links([np.frombuffer(r[9], np.uint64) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -292,14 +321,18 @@ class NearDedup:
         self.docs, self.size, self.percent, self.bands, self.rows = texts(docs, id_col, text_col), size, percent, bands, rows
         self.tables = Tables(docs.sparkSession)
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """Shingle sets of representatives, written.  Where an id has several texts, the one of its class."""
+        found = self.docs.join(self.reps.select("doc_id", "fp").join(ids, "doc_id", "left_semi"), "doc_id").select("doc_id", "fp", "text")
+        return self.tables.write(found.mapInArrow(_sets(self.size), "doc_id long, shingles binary"), name, "none")
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links, by signature and then by full sets; written."""
         sig, t = self.reps.select("doc_id", "sig"), self.tables
         near = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         near = t.write(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(self.bands * self.rows, self.percent / 100), "a long, b long"), f"{name}-near")
         ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        # a repeated id has one set here: that of its class
-        sets = t.write(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "doc_id long, shingles binary"), f"{name}-sets", "none")
+        sets = self.sets(ids, f"{name}-sets")
         parts = near.groupBy("a").agg(F.ceil(F.count("*") / 1000).cast("int").alias("parts"))
         members = near.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
         members = members.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "shingles")
@@ -312,34 +345,35 @@ class NearDedup:
     def crossing(self, members: DataFrame, parts: DataFrame) -> DataFrame:
         """Links (a, b) between different components that share a bucket; enough of them to join what belongs together.
 
-        Buckets with several components are chained into clusters.  A cluster is compared within one task, or, when it
-        has over BLOCK documents, block by block, each pair of blocks in a task of its own.
+        Documents of a bucket meet by signatures first, and only those with a pair to be confirmed meet again with
+        their sets.  A bucket of over BLOCK documents is dealt out by pairs of blocks, each in a task of its own.  A
+        pair is looked at in the first bucket that it shares.
         """
         t = self.tables
         own = F.coalesce("component", "doc_id").alias("component")
-        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "lead", own)
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        stars = t.write(placed.join(mixed, "bucket").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), "component").distinct(), "mixed")
-        if stars.isEmpty():
-            return stars.select("a", "b")
-        clusters = connected_components(stars.select("a", "b"), t, "cluster").withColumnRenamed("component", "cluster")
-        docs = stars.select(F.col("b").alias("doc_id"), "component").distinct()
-        docs = docs.join(clusters, docs["doc_id"] == clusters["node"], "left").select("doc_id", "component", F.coalesce("cluster", "doc_id").alias("cluster"))
-        blocks = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-        docs = docs.join(blocks, "cluster").select("doc_id", "component", "cluster", "k", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("i"))
-        full = docs.join(self.reps.select("doc_id", "bands", "sig"), "doc_id").join(self.docs.where("doc_id is not null"), "doc_id")
-        # every block meets every other one: (least, greatest) of the two block numbers
-        spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-        spread = spread.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "doc_id", "component", "bands", "sig", "text")
-        rows = spread.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id")
-        return t.write(rows.mapInArrow(_across(self.size, self.percent, self.bands * self.rows), "a long, b long"), "crossing")
+        placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", own)
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("lo < hi").select("bucket", "k")
+        dealt = placed.join(mixed, "bucket").select("bucket", "doc_id", "component", "k", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int").alias("block"))
+        dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j")).select("bucket", F.least("block", "j").alias("x"), F.greatest("block", "j").alias("y"), "doc_id", "component", "block")
+        dealt = t.write(dealt.join(self.reps.select("doc_id", "n", "bands", "sig"), "doc_id").select(*PLACE), "mixed")
+        in_groups = lambda d: d.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc_id")
+        chosen = t.write(in_groups(dealt).mapInArrow(_candidates(self.percent, self.bands * self.rows), "bucket long, x int, y int, doc_id long"), "chosen")
+        if chosen.isEmpty():
+            return chosen.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+        sets = self.sets(chosen.select("doc_id").distinct(), "chosen-sets")
+        full = dealt.join(chosen, ["bucket", "x", "y", "doc_id"]).join(sets, "doc_id").select(*PLACE, "shingles")
+        out = t.write(in_groups(full).mapInArrow(_across(self.percent, self.bands * self.rows), "a long, b long"), "crossing")
+        t.drop("mixed", "chosen", "chosen-sets")
+        return out
 
     def run(self) -> DataFrame:
         t = self.tables
         features = t.write(self.docs.mapInArrow(_features(self.size, self.bands, self.rows), "doc_id long, n long, fp binary, bands array<bigint>, sig binary"), "features")
         known = features.where("n > 0 and doc_id is not null")
-        first = known.groupBy("fp").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("r"))
-        self.reps = t.write(first.select("fp", "r.doc_id", "r.bands", "r.sig").dropDuplicates(["doc_id"]), "reps")
+        first = known.groupBy("fp").agg(F.min_by(F.struct("doc_id", "n", "bands", "sig"), "doc_id").alias("r"))
+        # an id with several texts may lead several classes: it stands for one of them, and links the others by its id
+        lead = first.select("fp", "r.doc_id", "r.n", "r.bands", "r.sig").groupBy("doc_id").agg(F.min_by(F.struct("fp", "n", "bands", "sig"), "fp").alias("r"))
+        self.reps = t.write(lead.select("r.fp", "doc_id", "r.n", "r.bands", "r.sig"), "reps")
         keys = self.reps.select(F.explode("bands").alias("bucket"), "doc_id")
         leads = keys.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("doc_id").alias("lead")).where("rows > 1").select("bucket", "lead")
         members = t.write(keys.join(leads, "bucket").select("bucket", "doc_id", "lead"), "members")
@@ -350,11 +384,12 @@ class NearDedup:
         if not more.isEmpty():
             every = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
             parts = connected_components(every, t, "second")
-        t.drop("members", "stars", "mixed", "crossing", "star-links", *[k for k in t.paths if k.startswith("cluster")])
-        classes = self.reps.select("fp", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("found"))
-        out = features.select("doc_id", "n", "fp").join(classes, "fp", "left")
-        alone = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("found").isNull()
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("found")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        t.drop("members", "stars", "star-links", "crossing")
+        classes = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        classes = classes.select("fp", F.coalesce("component", "doc_id").alias("component_id"))
+        linked = known.select("doc_id", "n", "fp").join(classes, "fp").select("doc_id", "n", "component_id")
+        alone = features.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -88,6 +88,25 @@ def test_minhash_blocks(docs, monkeypatch):
     assert all(r.component_id == want[r.doc_id][1] for r in minhash.near_dedup(docs).collect())
 
 
+def test_minhash_joins_components_of_a_bucket(spark, monkeypatch):
+    """Chains of copies whose links the first pass can't see from a bucket's smallest id; blocks and a repeated id."""
+    g, rows = random.Random(11), []
+    for family in range(4):
+        w = [g.choice(WORDS) for _ in range(150)]
+        for k in range(25):
+            w = list(w)
+            for _ in range(4):
+                w[g.randrange(len(w))] = g.choice(WORDS)
+            rows.append((1000 - len(rows), " ".join(w)))
+    want = B.near_components(rows)
+    d = spark.createDataFrame([*rows, (2000, rows[0][1]), (2000, "another text of the same id"), (2001, "another text of the same id")], "doc_id long, text string")
+    for block in (2000, 4):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_dedup(d).collect()}
+        assert all(got[i, n] == c for i, (n, c) in want.items()) and got[2001, 3] == got[2000, 3] == 2000
+    assert len(set(want.values())) < len(rows)
+
+
 def test_secrets(docs, empty):
     for r in secret_scan.secret_scan(docs).collect():
         base = B.base_spans(TEXT[r.doc_id])
