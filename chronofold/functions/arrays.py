@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row, even where f names it for each sample."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
@@ -27,8 +34,7 @@ def mean(x: Column) -> Column:
 
 
 def detrended(x: Column) -> Column:
-    m = mean(x)
-    return F.transform(x, lambda v: v - m)
+    return bound(x, lambda w: bound(mean(w), lambda m: F.transform(w, lambda v: v - m)))
 
 
 def finite(x: Column) -> Column:
@@ -51,15 +57,17 @@ def frames(x: Column, width: int, hop: int) -> Column:
 
 def pearson(x: Column, y: Column) -> Column:
     """Correlation of two windows; 0 where one is constant."""
-    a, b = detrended(x), detrended(y)
-    dot = total(F.zip_with(a, b, lambda u, v: u * v))
-    size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v)))
-    return F.when(size > 0, dot / size).otherwise(0.0)
+
+    def of(a: Column, b: Column) -> Column:
+        size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v)))
+        return bound(size, lambda n: F.when(n > 0, total(F.zip_with(a, b, lambda u, v: u * v)) / n).otherwise(0.0))
+
+    return bound(detrended(x), lambda a: bound(detrended(y), lambda b: of(a, b)))
 
 
 def scaled_to(x: Column, size: Column, target: float) -> Column:
     """The window times target / size; a window of size 0 stays 0."""
-    return F.transform(x, lambda v: v * (target / (size + 1e-7)))
+    return bound(target / (size + 1e-7), lambda k: F.transform(x, lambda v: v * k))
 
 
 def rolled(x: Column, by: Column) -> Column:
@@ -79,11 +87,14 @@ def moved(x: Column, by: Column) -> Column:
 
 def line_detrended(x: Column) -> Column:
     """The window without its least-squares line."""
-    n = F.size(x)
-    centre = (n - 1) / 2.0
-    slope = total(F.transform(x, lambda v, i: v * (i - centre))) / ((n * (n * n - 1)) / 12.0)
-    m = mean(x)
-    return F.transform(x, lambda v, i: v - m - slope * (i - centre))
+
+    def of(w: Column) -> Column:
+        n = F.size(w).cast("double")
+        lean = total(F.transform(w, lambda v, i: v * (i - (n - 1) / 2))) / (n * (n * n - 1) / 12)
+        line = F.struct(mean(w).alias("m"), lean.alias("k"), ((n - 1) / 2).alias("c"))
+        return bound(line, lambda p: F.transform(w, lambda v, i: v - p["m"] - p["k"] * (i - p["c"])))
+
+    return bound(x, of)
 
 
 def around_centre(x: Column, on: int, off: int) -> Column:
@@ -108,12 +119,17 @@ def subsection(x: Column, u: Column, on: int, off: int, margin: int = 16) -> Col
 
 def rolling_pearson(x: Column, y: Column, reach: int) -> Column:
     """Correlation at each circular shift of y by reach, reach - 1, ..., 1 - reach samples."""
-    a, b = detrended(x), detrended(y)
-    size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v))) + 1e-5
-    n = F.size(b)
-    twice = F.concat(b, b)
-    at = lambda o: F.slice(twice, F.pmod(-(F.lit(reach) - o), n) + 1, n)
-    return F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 1)), lambda o: total(F.zip_with(a, at(o), lambda u, v: u * v)) / size)
+
+    def of(p: Column) -> Column:
+        n = F.size(p["b"])
+        at = lambda o: F.slice(p["twice"], F.pmod(-(F.lit(reach) - o), n) + 1, n)
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 1)), lambda o: total(F.zip_with(p["a"], at(o), lambda u, v: u * v)) / p["size"])
+
+    def sized(a: Column, b: Column) -> Column:
+        size = F.sqrt(total(F.transform(a, lambda v: v * v)) * total(F.transform(b, lambda v: v * v))) + 1e-5
+        return bound(F.struct(a.alias("a"), b.alias("b"), F.concat(b, b).alias("twice"), size.alias("size")), of)
+
+    return bound(detrended(x), lambda a: bound(detrended(y), lambda b: sized(a, b)))
 
 
 def even(x: Column) -> Column:

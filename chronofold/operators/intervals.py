@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
 
 
-def _islands(df: DataFrame, *keys: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
-    top = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("new", (top.isNull() | (F.col("start_us") > top)).cast("int"))
-    d = d.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("island")
+def numbered_runs(df: DataFrame, keys: list[str], order: list[str], top: str, begins: Callable[[Column], Column], bucket: int) -> DataFrame:
+    """Rows with the number (`run`, from 1 where the first row begins one) of the run that they are in.
+
+    A run begins where begins(greatest `top` of all earlier rows) says so.  Rows of a key meet within buckets of the
+    first order column only; of each bucket one row, with its greatest `top` and its number of runs, meets the others.
+    """
+    d = df.withColumn("b", F.floor(F.col(order[0]) / bucket))
+    near, past = Window.partitionBy(*keys, "b").orderBy(*order), Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    reach = d.groupBy(*keys, "b").agg(F.max(top).alias("reach")).select(*keys, "b", F.max("reach").over(past).alias("reach"))
+    d = d.join(reach, [*keys, "b"]).withColumn("reach", F.greatest(F.max(top).over(near.rowsBetween(Window.unboundedPreceding, -1)), "reach"))
+    d = d.withColumn("begins", F.coalesce(begins(F.col("reach")).cast("long"), F.lit(0)))
+    base = d.groupBy(*keys, "b").agg(F.sum("begins").alias("base")).select(*keys, "b", F.coalesce(F.sum("base").over(past), F.lit(0)).alias("base"))
+    inside = F.sum("begins").over(near.rowsBetween(Window.unboundedPreceding, 0))
+    return d.join(base, [*keys, "b"]).withColumn("run", F.col("base") + inside).drop("b", "reach", "begins", "base")
 
 
 def merge(df: DataFrame, bucket: int = 24 * HOUR) -> DataFrame:
-    """Union of intervals; touching ones join.  First within time buckets, so that few rows meet for each detector."""
-    d = df.where("end_us > start_us").select("ifo", "start_us", "end_us", F.floor(F.col("start_us") / bucket).alias("b"))
-    return _islands(_islands(d, "ifo", "b").drop("b"), "ifo")
+    """Union of intervals; touching ones join.  Few rows of a detector meet: see numbered_runs."""
+    d = df.where("end_us > start_us").select("ifo", "start_us", "end_us")
+    d = numbered_runs(d, ["ifo"], ["start_us", "end_us"], "end_us", lambda top: top.isNull() | (F.col("start_us") > top), bucket)
+    return d.groupBy("ifo", "run").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("run")
 
 
 def _bucketed(df: DataFrame, bucket: int) -> DataFrame:
@@ -67,10 +78,10 @@ def at_least(df: DataFrame, length: int) -> DataFrame:
     return df.where(F.col("end_us") - F.col("start_us") >= length)
 
 
-def covered(points: DataFrame, at: Column, segments: DataFrame, bucket: int = HOUR) -> DataFrame:
-    """Points inside a segment of their detector (range semi-join)."""
+def covered(points: DataFrame, at: Column, segments: DataFrame, bucket: int = HOUR, closed: bool = False) -> DataFrame:
+    """Points inside a segment of their detector (range semi-join); closed: the end counts as inside."""
     p = points.withColumn("at", at).withColumn("b", F.floor(at / bucket))
-    s = _bucketed(segments, bucket).select("ifo", "b", "start_us", "end_us")
+    s = _bucketed(segments.withColumn("end_us", F.col("end_us") + int(closed)), bucket).select("ifo", "b", "start_us", "end_us")
     hit = p["ifo"].eqNullSafe(s["ifo"]) & (p["b"] == s["b"]) & (p["at"] >= s["start_us"]) & (p["at"] < s["end_us"])
     return p.join(s, hit, "left_semi").drop("at", "b")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.expressions import split_name, uniform
+from chronofold.operators.intervals import HOUR, numbered_runs
 
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -41,12 +42,10 @@ def balanced(df: DataFrame, label: str, key: str, seed: str) -> DataFrame:
     return ranked.join(least).where("rank <= least").drop("u", "rank", "least")
 
 
-def gaps(df: DataFrame, keys: list[str], at: str, gap: float) -> DataFrame:
-    """Clusters of rows whose neighbours are at most `gap` apart."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    new = (F.col(at) - F.lag(at).over(w) > gap).cast("int")
-    d = df.withColumn("cluster", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+def gaps(df: DataFrame, keys: list[str], at: str, gap: int, bucket: int = 24 * HOUR) -> DataFrame:
+    """Clusters (from 0) of rows whose neighbours are at most `gap` apart."""
+    d = numbered_runs(df, keys, [at], at, lambda top: F.col(at) - top > gap, bucket)
+    return d.groupBy(*keys, F.col("run").alias("cluster")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 def nearest_after(left: DataFrame, right: DataFrame, key: str, tolerance: int) -> DataFrame:
@@ -57,6 +56,15 @@ def nearest_after(left: DataFrame, right: DataFrame, key: str, tolerance: int) -
     return j.groupBy(*[c for c in left.columns]).agg(F.min("r_us").alias("r_us"))
 
 
+def first_within(left: DataFrame, right: DataFrame, keys: list[str], order: str, tolerance: int) -> DataFrame:
+    """Each left row with the first right row, by `order`, less than `tolerance` away on either side."""
+    b = F.floor(F.col("us") / tolerance)
+    a = left.withColumn("b", F.explode(F.array(b - 1, b, b + 1)))
+    r = right.select(*keys, b.alias("b"), F.col("us").alias("r_us"), F.col(order).alias("r_order"))
+    j = a.join(r, [*keys, "b"]).where(F.abs(F.col("us") - F.col("r_us")) < tolerance)
+    return j.groupBy(*left.columns).agg(F.min_by("r_us", "r_order").alias("r_us"), F.min("r_order").alias("r_order"))
+
+
 def false_alarm_rates(noise: DataFrame, score: Column, seconds: float) -> DataFrame:
     """(score, rate): rows at or above each distinct score, per second of all noise."""
     n = noise.groupBy(score.alias("score")).agg(F.count("*").alias("n"))

@@ -133,3 +133,25 @@ def test_windows_edges(spark):
 def test_rows_of_queries_without_sql(spark, name):
     rows = catalog.queries()[name](spark, SF).collect()
     assert len(rows) in (200, 500) and all(v is not None and math.isfinite(v) for r in rows for v in r)
+
+
+def test_long_windows_and_odd_samples(spark):
+    """4,096 samples; NaN and infinite samples become 0; a line goes; shifts and pairs agree with NumPy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from chronofold.functions import arrays as A
+
+    g = np.random.default_rng(5)
+    x, y = g.normal(size=4096) + 0.001 * np.arange(4096), g.normal(size=4096)
+    bad = x.copy()
+    bad[[3, 70, 4000]] = np.nan, np.inf, -np.inf
+    d = spark.createDataFrame([(x.tolist(), y.tolist(), bad.tolist())], "x array<double>, y array<double>, bad array<double>")
+    X, Y = F.col("x"), F.col("y")
+    r = d.select(A.line_detrended(X).alias("line"), A.detrended(X).alias("flat"), A.pearson(X, Y).alias("r"), A.rolling_pearson(X, Y, 4).alias("rolled"), A.finite(F.col("bad")).alias("clean"), A.scaled_to(X, A.peak(X), 2.0).alias("scaled")).first()
+    t = np.arange(4096)
+    assert np.allclose(r.line, x - np.polyval(np.polyfit(t, x, 1), t), atol=1e-9) and np.allclose(r.flat, x - x.mean())
+    assert abs(r.r - np.corrcoef(x, y)[0, 1]) < 1e-9 and len(r.rolled) == 8
+    want = [np.corrcoef(x, np.roll(y, s))[0, 1] for s in (4, 3, 2, 1, 0, -1, -2, -3)]
+    assert np.allclose(r.rolled, want, atol=1e-6)
+    assert np.array_equal(r.clean, np.where(np.isfinite(bad), bad, 0)) and abs(max(map(abs, r.scaled)) - 2) < 1e-6
