@@ -1,7 +1,7 @@
 """Substring dedup on words by de Bruijn compaction.
 
 Windows of 20 words are the edges of a de Bruijn graph whose nodes are 19 words.  Only edges that can repeat become
-rows (minimizers that occur once are gone before).  An edge's label has 128 bits.  A segment keeps the first of its equal
+rows (minimizers that occur once are gone before).  An edge's label has 96 bits.  A segment keeps the first of its equal
 edges, so one edge meets in one place with a row for each segment at most.  There each later occurrence is labelled with
 the coordinates of the first.  Edges that follow each other in a document and whose labels advance together are a path,
 and compact by coordinates in NumPy into one row (document, start, edges, source document, source start); nodes and
@@ -22,7 +22,7 @@ from ._repeats import by_segment, is_in, numbered, repeated_keys, runs, segments
 from .minhash import join_hashes, word_hashes
 
 K = 8
-PATH = "h long, g long, row long, pos int, n int, orow long, opos int"
+PATH = "h long, g int, row long, pos int, n int, orow long, opos int"
 
 
 def _grams(h, size: int):
@@ -82,8 +82,9 @@ def _compact(row, pos, orow, opos):
 def _path_batch(row, pos, n, orow, opos, h=None, g=None) -> pa.RecordBatch:
     import numpy as np
 
-    h, g = (np.zeros(len(row), np.int64) if x is None else x for x in (h, g))
-    cols = [pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(orow, pa.int64()), pa.array(opos, pa.int32())]
+    h = np.zeros(len(row), np.int64) if h is None else h
+    g = np.zeros(len(row), np.int32) if g is None else g
+    cols = [pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(orow, pa.int64()), pa.array(opos, pa.int32())]
     return pa.RecordBatch.from_arrays(cols, ["h", "g", "row", "pos", "n", "orow", "opos"])
 
 
@@ -94,7 +95,7 @@ def _edges(span: int, bits: int, most: int = 600_000):
         import numpy as np
 
         now, held, size = None, [], 0
-        masks = [np.uint64((1 << max(0, min(64, bits - at))) - 1) for at in (0, 64)]
+        masks = [np.uint64((1 << max(0, min(most, bits - at))) - 1) for at, most in ((0, 64), (64, 32))]
 
         def flush():
             h, g, row, pos = (np.concatenate(c) for c in zip(*held))
@@ -108,7 +109,7 @@ def _edges(span: int, bits: int, most: int = 600_000):
             owner[order] = order[lead][np.cumsum(lead) - 1]
             first = owner == np.arange(len(h))
             zero = np.zeros(int(first.sum()), np.int64)
-            yield _path_batch(row[first], pos[first], zero, zero, zero, h[first].view(np.int64), g[first].view(np.int64))
+            yield _path_batch(row[first], pos[first], zero, zero, zero, h[first].view(np.int64), g[first].astype(np.uint32).view(np.int32))
             r, p, o, q = row[~first], pos[~first], row[owner[~first]], pos[owner[~first]]
             at, n = _compact(r, p, o, q)
             yield _path_batch(r[at], p[at], n, o[at], q[at])
@@ -223,7 +224,7 @@ def _settled(wrong: DataFrame, bodies: DataFrame, span: int) -> DataFrame:
     return found.join(first, "words").where("row <> o.row or pos <> o.pos").select("row", "pos", F.lit(1).alias("n"))
 
 
-def substring_dedup(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", label_bits: int = 128) -> DataFrame:
+def substring_dedup(docs: DataFrame, span: int = 20, id_col: str = "doc_id", text_col: str = "text", label_bits: int = 96) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, text (kept words joined by one space).
 
     Removed are words covered by a window of `span` words that also starts earlier: in a smaller doc_id, or earlier in

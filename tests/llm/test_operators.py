@@ -164,7 +164,7 @@ def test_suffixes(docs, empty, monkeypatch, many):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("bits", [128, 64, 4, 0])
+@pytest.mark.parametrize("bits", [96, 64, 4, 0])
 def test_words(docs, empty, bits):
     """With few bits nearly all labels collide."""
     want = B.word_repeats(ROWS)
