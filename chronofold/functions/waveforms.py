@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronofold.functions.arrays import bound
+
 TWO_PI = 2 * math.pi
 
 #: SI values of the gravitational constant, the speed of light and the solar mass.
 G_SI, C_SI, SOLAR_SI = 6.6743e-11, 299792458.0, 1.988409870698051e30
 
 
+def per_row(f: Callable[..., Column], *values: Column) -> Column:
+    """f of columns that are computed once a row, not once a sample."""
+    row = F.struct(*[v.alias(f"c{k}") for k, v in enumerate(values)])
+    return bound(row, lambda r: f(*[r[f"c{k}"] for k in range(len(values))]))
+
+
 def samples(n: int, value) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: value(i.cast("double")))
 
@@ -22,39 +32,48 @@ def times(n: int, start: float, stop: float):
     return lambda i: F.lit(start) + i * ((stop - start) / max(n - 1, 1))
 
 
-def hann(n: int, count: Column):
-    """Value of a centred Hann window of `count` samples, 0 outside."""
-    first = F.floor((F.lit(n) - count) / 2)
+def hann(n: int, first: Column, count: Column):
+    """Value of a Hann window of `count` samples from `first` on, 0 outside."""
     inside = lambda i: (i >= first) & (i < first + count)
     return lambda i: F.when(inside(i), 0.5 - 0.5 * F.cos(TWO_PI * (i - first) / F.greatest(count - 1, F.lit(1)))).otherwise(0.0)
 
 
+def _first(n: int, count: Column) -> Column:
+    return F.floor((F.lit(n) - count) / 2)
+
+
 def envelope(n: int, count: Column) -> Column:
-    return samples(n, hann(n, count))
+    """A centred Hann window of `count` samples."""
+    return per_row(lambda at, m: samples(n, hann(n, at, m)), _first(n, count), count)
 
 
 def periodic(shape: str, n: int, seconds: float, frequency: Column, amplitude: Column, phase: Column, count: Column) -> Column:
-    t, w = times(n, 0.0, seconds), hann(n, count)
-    turn = lambda i: frequency * t(i) + phase / TWO_PI
-    saw = lambda i: 2 * (turn(i) - F.floor(turn(i))) - 1
-    sine = lambda i: F.sin(TWO_PI * frequency * t(i) + phase)
-    value = {"sine": sine, "square": lambda i: F.signum(sine(i)), "sawtooth": saw, "triangle": lambda i: 2 * F.abs(saw(i)) - 1}[shape]
-    return samples(n, lambda i: amplitude * value(i) * w(i))
+    t = times(n, 0.0, seconds)
+
+    def wave(f, a, p, at, m):
+        turn = lambda i: f * t(i) + p / TWO_PI
+        saw = lambda i: bound(turn(i), lambda x: 2 * (x - F.floor(x)) - 1)
+        sine = lambda i: F.sin(TWO_PI * f * t(i) + p)
+        value = {"sine": sine, "square": lambda i: F.signum(sine(i)), "sawtooth": saw, "triangle": lambda i: 2 * F.abs(saw(i)) - 1}[shape]
+        return samples(n, lambda i: a * value(i) * hann(n, at, m)(i))
+
+    return per_row(wave, frequency, amplitude, phase, _first(n, count), count)
 
 
 def sine_gaussian(n: int, seconds: float, frequency: Column, quality: Column, amplitude: Column, phase: Column) -> Column:
     t, tau = times(n, -seconds / 2, seconds / 2), quality / (frequency * math.sqrt(2) * math.pi)
-    return samples(n, lambda i: amplitude * F.sin(TWO_PI * frequency * t(i) + phase) * F.exp(-t(i) * t(i) / (2 * tau * tau)))
+    return per_row(lambda w, p, a, d: samples(n, lambda i: a * F.sin(w * t(i) + p) * F.exp(-t(i) * t(i) / d)), TWO_PI * frequency, phase, amplitude, 2 * tau * tau)
 
 
 def chirplet(n: int, seconds: float, start: Column, stop: Column, duration: Column, amplitude: Column, phase: Column, count: Column) -> Column:
-    t, w, slope = times(n, 0.0, seconds), hann(n, count), (stop - start) / duration
-    return samples(n, lambda i: amplitude * F.sin(TWO_PI * (start * t(i) + 0.5 * slope * t(i) * t(i)) + phase) * w(i))
+    t = times(n, 0.0, seconds)
+    wave = lambda f, k, a, p, at, m: samples(n, lambda i: a * F.sin(TWO_PI * (f * t(i) + 0.5 * k * t(i) * t(i)) + p) * hann(n, at, m)(i))
+    return per_row(wave, start, (stop - start) / duration, amplitude, phase, _first(n, count), count)
 
 
 def ringdown(n: int, seconds: float, frequency: Column, tau: Column, amplitude: Column, phase: Column) -> Column:
     t = times(n, 0.0, seconds)
-    return samples(n, lambda i: amplitude * F.sin(TWO_PI * frequency * t(i) + phase) * F.exp(-t(i) / tau))
+    return per_row(lambda f, d, a, p: samples(n, lambda i: a * F.sin(TWO_PI * f * t(i) + p) * F.exp(-t(i) / d)), frequency, tau, amplitude, phase)
 
 
 def _chirp_seconds(m1: Column, m2: Column) -> Column:
@@ -77,8 +96,8 @@ def inspiral(n: int, rate: float, m1: Column, m2: Column, inclination: Column, m
     mc, end = _chirp_seconds(m1, m2), merger * n / rate
     left = lambda i: F.lit(end) - i / rate
     size = F.pow(mc, F.lit(1.25)) * (1 + F.cos(inclination) * F.cos(inclination)) / 2
-    wave = lambda i: size * F.pow(5.0 / left(i), F.lit(0.25)) * F.cos(-2 * F.pow(left(i) / (5.0 * mc), F.lit(0.625)))
-    return samples(n, lambda i: F.when(left(i) > 0, wave(i)).otherwise(0.0))
+    wave = lambda s, m, i: s * F.pow(5.0 / left(i), F.lit(0.25)) * F.cos(-2 * F.pow(left(i) / m, F.lit(0.625)))
+    return per_row(lambda s, m: samples(n, lambda i: F.when(left(i) > 0, wave(s, m, i)).otherwise(0.0)), size, 5.0 * mc)
 
 
 def white_noise(n: int, key: Column, salt: str) -> Column:

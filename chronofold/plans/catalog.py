@@ -222,9 +222,9 @@ QUERIES = (
 
 
 def queries() -> dict:
-    from chronofold.plans import selection, signals
+    from chronofold.plans import composed, selection, signals
 
-    return {f.__name__: f for f in QUERIES + signals.QUERIES + selection.QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *signals.QUERIES, *selection.QUERIES, *composed.QUERIES)}
 
 
 def _grp(key: str, salt: str) -> str:
@@ -239,9 +239,9 @@ SUM = "list_sum(list_transform({a}, lambda v, i: v * i))"
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronofold.plans import selection, signals
+    from chronofold.plans import composed, selection, signals
 
-    return signals.oracle_sql() | selection.oracle_sql() | {
+    return signals.oracle_sql() | selection.oracle_sql() | composed.SQL | {
         "flagship": f"""WITH {T}, d AS (SELECT DISTINCT gps_key, kind, ifo FROM t), g AS (SELECT *, {_grp('gps_key', '42')} AS grp, count(*) OVER (PARTITION BY kind) AS c FROM d), m AS (SELECT *, max(c) OVER () AS top FROM g)
             SELECT grp, kind, count(*) AS n, round(sum(top / c), 6) AS weight FROM m GROUP BY grp, kind""",
         "catalogue_search": f"WITH {CAT} SELECT p_partkey, name, mass1, round(mass2, 6) AS mass2, {TYPE} FROM c WHERE mass1 BETWEEN 10 AND 40 AND mass2 BETWEEN 5 AND 30 AND distance BETWEEN 900 AND 1500 AND name ILIKE '%ring%'",
