@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,12 +19,15 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _roots: dict[str, str] = {}
+_live: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a local one of our own only where that is unset."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", given)
     app = spark.sparkContext.applicationId
@@ -52,6 +56,12 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = hadoop(spark, path)
         fs.delete(p, True)
+        _live.discard(path)
+
+
+def live() -> set[str]:
+    """Paths of all written tables that are still there."""
+    return set(_live)
 
 
 #: For jobs whose output is a written table: shuffle files go when the job ends, and rows with long texts or packed
@@ -84,6 +94,7 @@ class Tables:
             df.write.option("compression", codec).parquet(path)
         self.drop(name)
         self.paths[name] = path
+        _live.add(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

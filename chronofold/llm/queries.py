@@ -29,7 +29,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four lots, each appended and then compacted; what the last manifest version holds."""
+    """Documents arrive in four lots, each appended; then one compaction; what the last manifest version holds."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardedTable(spark, new_path(spark, "sharded"), target=64 << 20)
     for lot in range(4):
@@ -86,6 +86,26 @@ def queries() -> dict:
 
 
 SQL = {
+    "op2_minhash_dedup": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM t),
+             e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM c WHERE 100 * shared >= 80 * (x + y - shared)),
+             d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a),
+             m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+             g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM x),
+             f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS turn FROM g) WHERE turn > 1),
+             c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f),
+             p AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+             a AS (SELECT p.doc_id, count(c.p) AS n_removed, string_agg(v, ' ' ORDER BY p.p) FILTER (WHERE c.p IS NULL) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id""",
     "op3_sharding": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars FROM documents",
     "op9_warc": """
         WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -85,8 +85,18 @@ class ShardedTable:
 
     # changes
     def append(self, df: DataFrame) -> int:
-        """Add rows as new small shards; the new version.  A table without rows adds its schema only."""
+        """Add rows as new small shards; the new version.  A table without rows adds its schema only.
+
+        Rows are kept as they are: nulls, empty and long texts, repeated rows, ties.  The first lot sets the columns;
+        a later one must have the same names and types, in any order, else ValueError: no column is dropped or cast.
+        """
         at, now = self.manifest()
+        if now["schema"]:
+            kinds = {f["name"]: f["type"] for f in json.loads(now["schema"])["fields"]}
+            given = {f["name"]: f["type"] for f in json.loads(df.schema.json())["fields"]}
+            if kinds != given or len(df.columns) != len(kinds):
+                raise ValueError(f"columns of the table are {kinds}, not {given}")
+            df = df.select(*[f"`{name}`" for name in kinds])
         return self._commit(at + 1, now["schema"] or df.schema.json(), now["shards"] + self._write(df, at + 1))
 
     def tier(self, shard: Shard) -> int:

@@ -35,15 +35,32 @@ def _clean(url: str | None) -> str:
     return "" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
 
 
+#: What a response has before its payload: the digest is that of the payload alone.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same for equal rows on every run, so a revisit can name its response without reading it."""
+    return f"urn:uuid:{uuid.UUID(hashlib.sha256(f'{page_id}:{digest}'.encode()).hexdigest()[:32])}"
+
+
+def _lines(kind: str, identity: str, more: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{identity}>", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def warcinfo(name: str) -> bytes:
+    """The first record of an archive."""
+    return _lines("warcinfo", record_id(None, name), [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record.  A revisit has no block; size and digest describe the full payload."""
-    kind = "response" if refers_to is None else "revisit"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
-    lines += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
-    lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"] * (refers_to is not None)
-    block = payload if refers_to is None else b""
-    lines += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+    again = refers_to is not None
+    more = [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
+    more += [f"WARC-Target-URI: {_clean(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
+    more += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"X-Refers-To-Page-ID: {refers_to}"] if again else []
+    return _lines("revisit" if again else "response", record_id(page_id, digest), more, b"" if again else HTTP_HEAD + payload)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -52,6 +69,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def _member(data: bytes, level: int) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
 def _writer(folder: str, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -62,8 +84,8 @@ def _writer(folder: str, level: int):
                 if out is None:
                     fs, path = _fs(folder)
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = packer.compress(record(page, url, html, n, digest, refers)) + packer.flush()
+                    at += out.write(_member(warcinfo(name), level))
+                data = _member(record(page, url, html, n, digest, refers), level)
                 out.write(data)
                 rows.append((name, at, len(data), page, url, digest, "response" if refers is None else "revisit"))
                 at += len(data)
@@ -122,12 +144,13 @@ def _records(members: list[bytes], payloads: bool) -> pa.RecordBatch:
     for member in members:
         head, block = parse(zlib.decompress(member, 31))
         digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-        kind, refers = head["WARC-Type"], head.get("WARC-Refers-To")
+        kind, refers = head["WARC-Type"], head.get("X-Refers-To-Page-ID")
+        block = block.partition(b"\r\n\r\n")[2]
         if kind == "response" and hashlib.sha256(block).hexdigest() != digest:
             raise ValueError("a payload does not have the digest of its record")
         page = head.get("X-Page-ID")
         size = len(block) if kind == "response" else int(head["X-Payload-Length"])
-        rows.append((page and int(page), head.get("WARC-Target-URI"), kind, refers and int(refers[10:-1]), size, digest, block if payloads and kind == "response" else None))
+        rows.append((page and int(page), head.get("WARC-Target-URI"), kind, refers and int(refers), size, digest, block if payloads and kind == "response" else None))
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
@@ -137,7 +160,7 @@ def write_warc(pages: DataFrame, least: int = 100, level: int = 1) -> tuple[str,
 
     Of equal payloads of at least `least` bytes the smallest page_id is the response and the others revisit it; rows
     that repeat that page_id are responses too, and so are all rows of a payload that has null page_ids only.  A null
-    html is an empty payload, a null url writes no target, an empty table writes no archive.  Extra columns are ignored.
+    html is an empty payload, a null url writes no target, an empty table writes no archive; equal rows have equal record ids.  Extra columns are ignored.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
@@ -145,10 +168,13 @@ def write_warc(pages: DataFrame, least: int = 100, level: int = 1) -> tuple[str,
     fs.mkdirs(p)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.select("page_id", "url", "html", F.octet_length("html").cast("long").alias("n"), F.sha2("html", 256).alias("digest"))
-    first = base.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
-    joined = base.join(first, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = joined.select("page_id", "url", F.when(again, F.lit("")).otherwise(F.col("html")).cast("binary").alias("html"), "n", "digest", F.when(again, F.col("first")).alias("refers_to"))
+    # only ids and digests meet by digest; bodies are joined by row, so copies of one page spread over all tasks
+    ids = base.where(F.col("n") >= least).groupBy("page_id", "digest").agg(F.count("*").alias("rows"))
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("rows").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
+    again = ids.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    joined = base.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    html = F.when(F.col("first").isNotNull(), F.lit("")).otherwise(F.col("html")).cast("binary").alias("html")
+    rows = joined.select("page_id", "url", html, "n", "digest", F.col("first").alias("refers_to"))
     index = Tables(spark).write(rows.mapInArrow(_writer(folder, level), INDEX), "warc-index")
     return folder, index
 
