@@ -1,7 +1,10 @@
 """Corpus pipeline: quality rules, exact dedup, MinHash near-dedup, secret scans, packing.
 
 Each stage takes what its predecessor kept; run() writes every stage's rows as Parquet in the shared folder and reads
-them again, so no stage is computed twice and a lost executor costs one stage's tasks at most.
+them again, so no stage is computed twice and a lost executor costs one stage's tasks at most.  Rows are settled one by
+one: null and repeated ids stay what they are, a null text counts as empty, rows that repeat a text go in the exact
+stage, an empty table gives no pieces, and columns beyond those of documents are dropped by the first stage; missing
+lang, source or n_chars come out as null.
 """
 
 from __future__ import annotations
@@ -10,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import exact_dedup, minhash, packing, quality_rules, secret_scan
-from chronofold.llm._common import Tables
+from chronofold.llm._common import Tables, live, remove
 from chronofold.llm.queries import table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KINDS = ("long", "string", "string", "string", "long")
 
 
 def _kept(verdicts: DataFrame) -> DataFrame:
@@ -23,6 +27,7 @@ def _kept(verdicts: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
+    docs = docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in zip(COLUMNS, KINDS)])
     return _kept(quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"), keep=COLUMNS))
 
 
@@ -65,7 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, docs = Tables(spark), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = live()
         docs = tables.write(stage(spark, docs, sf_dir), name)
+        remove(spark, *(live() - before - {tables.paths[name]}))  # what the stage itself wrote on its way
         if k:
             tables.drop(STAGES[k - 1][0])
     return docs
