@@ -6,8 +6,9 @@ minimizer occurs once are gone before anything is shuffled.  Pieces of equal con
 document that has them.  Only where one minimizer has several contents do the first copies of each travel whole, and
 the suffixes that start at their windows are sorted: multikey quicksort by eight bytes at a time to a shallow depth,
 then blind tries for groups that still share their prefix.  Neighbours that agree over all 50 bytes form classes, and
-the smallest document of a class covers the others.  A minimizer with very many contents takes another exact way:
-its windows are grouped by their bytes with partial aggregation.
+the smallest document of a class covers the others.  Where the contents of one minimizer have more bytes than one task
+should sort (long runs of one symbol, say), its windows meet by their bytes: each block of a content sends a row for
+each distinct window with all of its places, so a repetitive text sends few.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .minhash import mix
 K = 16
 #: Bytes that the vectorised quicksort orders before blind tries take over.
 SHALLOW = 32
-#: Contents of one minimizer above which its windows are grouped by value instead: some 2 MB of bytes in one task.
-MANY = 20_000
+#: Bytes of different contents of one minimizer that one task sorts; beyond, the windows are dealt out by their bytes.
+HOT = 8 << 20
 #: A long text is cut into overlapping parts of this many bytes.
 PART = 4 << 20
 
@@ -320,6 +321,48 @@ def _sorted_pieces(span: int, most: int = 3 << 20):
     return run
 
 
+WINDOW = "rank long, row long, pos long, window binary, places binary"
+
+
+def _windows(span: int, block: int = 1 << 16, rows: int = 10_000):
+    """Distinct windows of each block of a content, with their places in the block as packed 32-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for rank, row, pos, n, content in zip(*(batch[c].to_pylist() for c in ("rank", "row", "pos", "n", "content"))):
+                for at in range(0, n, block):
+                    size = min(block, n - at)
+                    every = np.ascontiguousarray(np.ndarray((size,), f"V{span}", content, at, (1,)))
+                    order = np.argsort(every, kind="stable").astype(np.int32)
+                    cut = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
+                    ends = np.r_[cut[1:], size]
+                    for k in range(0, len(cut), rows):
+                        part = list(zip(cut[k : k + rows].tolist(), ends[k : k + rows].tolist()))
+                        same = lambda v: pa.array([v] * len(part), pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [same(rank), same(row), same(pos + at), pa.array([every[order[i]].tobytes() for i, _ in part], pa.binary()), pa.array([order[i:j].tobytes() for i, j in part], pa.binary())],
+                            ["rank", "row", "pos", "window", "places"],
+                        )
+
+    return run
+
+
+def _placed(span: int):
+    """Places of covered windows to spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for row, pos, places in zip(*(batch[c].to_pylist() for c in ("row", "pos", "places"))):
+                s = np.frombuffer(places, np.int32).astype(np.int64) + pos
+                yield _span_batch(*_united(np.full(len(s), row, np.int64), s, s + span))
+
+    return run
+
+
 FINAL = "doc_id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary"
 
 
@@ -370,14 +413,15 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     tables.drop("repeated")
     pieces = found.where("n > 0")
     # the smallest document of each content; contents of each minimizer
-    owners = tables.write(pieces.groupBy("m", "g").agg(F.min("rank").alias("least")), "owners")
-    several = owners.groupBy("m").agg(F.count("*").alias("contents")).where("contents > 1")
+    owners = tables.write(pieces.groupBy("m", "g").agg(F.min("rank").alias("least"), F.max("n").alias("windows")), "owners")
+    several = owners.groupBy("m").agg(F.count("*").alias("contents"), F.sum(F.col("windows") + (span - 1)).alias("bytes")).where("contents > 1")
+    owners = owners.drop("windows")
     owners = tables.write(owners.join(several, "m", "left"), "contents")
     tables.drop("owners")
     placed = pieces.join(owners, ["m", "g"])
     first = (F.col("rank") == F.col("least")) & F.col("contents").isNotNull()
     when = lambda c: F.when(first, c)
-    columns = (when(F.col("m")).alias("m"), when(F.col("rank")).alias("rank"), "row", "pos", "n", when(F.col("contents") > MANY).alias("hot"))
+    columns = (when(F.col("m")).alias("m"), when(F.col("rank")).alias("rank"), "row", "pos", "n", when(F.col("bytes") > HOT).alias("hot"))
     settled = found.where("n < 0").select(F.lit(None).cast("long").alias("m"), F.lit(None).cast("long").alias("rank"), "row", "pos", "n", F.lit(None).cast("boolean").alias("hot"))
     placed = tables.write(placed.where((F.col("rank") > F.col("least")) | first).select(*columns).union(settled), "placed")
     tables.drop("pieces", "contents")
@@ -387,11 +431,11 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     wanted = placed.where("m is not null").select("row", F.lit(0).alias("kind"), F.col("pos").alias("a"), F.col("n").cast("long").alias("b"), F.col("m").alias("doc_id"), extra.alias("body"))
     whole = tables.write(by_segment(wanted, bodies).mapInArrow(_contents(span), CONTENT), "whole")
     usual = whole.where("not hot").drop("hot").repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_pieces(span), SPANS)
-    windows = whole.where("hot").select("rank", "row", "pos", F.posexplode(F.expr(f"transform(sequence(0, n - 1), i -> substring(content, i + 1, {span}))")).alias("i", "window"))
+    windows = tables.write(whole.where("hot").select("rank", "row", "pos", "n", "content").mapInArrow(_windows(span), WINDOW), "windows")
     least = windows.groupBy("window").agg(F.min("rank").alias("least"))
-    many = windows.join(least, "window").where("rank > least").select("row", (F.col("pos") + F.col("i")).alias("s"), (F.col("pos") + F.col("i") + span).alias("e"))
+    many = windows.join(least, "window").where("rank > least").select("row", "pos", "places").mapInArrow(_placed(span), SPANS)
     covered = tables.write(usual.union(many), "covered")
-    tables.drop("whole")
+    tables.drop("whole", "windows")
     spans = copies.union(covered).select("row", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
     out = tables.write(by_segment(spans, bodies).mapInArrow(_finish(), FINAL), "kept")
     tables.drop("numbered", "placed", "covered")

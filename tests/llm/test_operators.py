@@ -153,9 +153,16 @@ def test_redaction(docs):
         assert "hunter22" not in r.clean and "Zx9Kq2Lm7Vb4Nc8Rt3Wy" not in r.clean
 
 
-@pytest.mark.parametrize("many", [20_000, 1])
-def test_suffixes(docs, empty, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
+def test_long_runs_of_one_symbol(spark):
+    """Over 8 MB of different contents under one minimizer, then the same with a period of three."""
+    rows = [(i, x * (300_000 + i * 17)) for i, x in enumerate(["a"] * 30 + ["abc"] * 3)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: (len(t), 0 if i in (0, 30) else len(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("hot", [8 << 20, 1])
+def test_suffixes(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     want = B.byte_repeats(ROWS)
     for r in suffix_dedup.suffix_dedup(docs).collect():
         body, mask = want[r.doc_id]
