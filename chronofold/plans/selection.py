@@ -41,7 +41,7 @@ def roc_area(spark, d):
 
 
 def rolling_recall(spark, d):
-    r = E.rolling_recall(D.scores(spark, d).where("truth = 1"), 0.6, centres=50, least=5)
+    r = E.rolling_recall(D.scores(spark, d).where("truth = 1"), 0.6, centres=50)
     return r.select(F.round("centre", 9).alias("centre"), "n", F.round("recall", 9).alias("recall"))
 
 
@@ -191,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "roc_fixed": f"WITH {roc} SELECT CAST(i AS INTEGER) AS k, round(t, 9) AS threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM o",
         "roc_area": f"WITH {roc}, l AS (SELECT tpr, fpr, lead(tpr) OVER (ORDER BY i) AS t2, lead(fpr) OVER (ORDER BY i) AS f2 FROM o) SELECT round(sum((fpr - f2) * (tpr + t2) / 2), 9) AS auc FROM l",
         "rolling_recall": f"""WITH {SCORES}, x AS (SELECT * FROM s WHERE truth = 1), e AS (SELECT floor(min(snr)) + 0.5 AS a, ceil(max(snr)) - 0.5 AS b FROM x), c AS (SELECT a + i * (b - a) / 49 AS centre FROM e, range(50) r(i)),
-            g AS (SELECT centre, count(*) AS n, avg(CASE WHEN score > 0.6 THEN 1 ELSE 0 END) AS recall FROM c JOIN x ON snr >= centre - 0.5 AND snr < centre + 0.5 GROUP BY centre HAVING count(*) >= 5) SELECT round(centre, 9) AS centre, n, round(recall, 9) AS recall FROM g WHERE (SELECT count(*) FROM g) >= 5""",
+            g AS (SELECT centre, count(*) AS n, avg(CASE WHEN score > 0.6 THEN 1 ELSE 0 END) AS recall FROM c JOIN x ON snr >= centre - 0.5 AND snr < centre + 0.5 GROUP BY centre HAVING count(*) >= 20) SELECT round(centre, 9) AS centre, n, round(recall, 9) AS recall FROM g WHERE (SELECT count(*) FROM g) >= 5""",
         "model_fitness": f"WITH {SCORES} SELECT round(1 / (1 - avg(CASE WHEN score > 0.5 THEN 1 ELSE 0 END) + 0.125::DOUBLE + 1e-8::DOUBLE), 8) AS fitness FROM s WHERE truth = 1",
         "score_density": f"WITH {SCORES}, e AS (SELECT min(snr) AS a, max(snr) AS b, min(score) AS c, max(score) AS d FROM s) SELECT CAST(least(floor((snr - a) / (b - a) * 40), 39) AS INTEGER) AS i, CAST(least(floor((score - c) / (d - c) * 40), 39) AS INTEGER) AS j, count(*) AS n FROM s, e GROUP BY 1, 2",
         "download_clusters": f"""WITH RECURSIVE {T}, {_spans('v', 'error', 5)}, o AS (SELECT *, row_number() OVER (PARTITION BY ifo ORDER BY start_us, end_us) AS k FROM v),
