@@ -31,8 +31,12 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _repeats(w: Column) -> tuple:
-    """Places of the 3-word windows found twice or more: equal hashes side by side once sorted, then equal words."""
+def _repeats(w: Column) -> Column:
+    """Places of the 3-word windows found twice or more: equal hashes side by side once sorted, then equal words.
+
+    Where neighbours of one hash differ in words, or a text has 2**20 words or more, windows are sorted by hash and
+    words, so that equal ones are side by side whatever their hashes.
+    """
     at = F.sequence(F.lit(0), F.size(w) - 3)
     same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
     hashed = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
@@ -42,7 +46,17 @@ def _repeats(w: Column) -> tuple:
     top = lambda x: F.shiftright(x, _PACK)
     near = lambda x, y, key, where: F.coalesce((key(x) == key(y)) & same(where(x), where(y)), F.lit(False))
     found = lambda s, key, where: F.filter(s, lambda x, k: F.when(k > 0, near(x, F.get(s, k - 1), key, where)).otherwise(F.lit(False)) | near(x, F.get(s, k + 1), key, where))
-    return packed, found, place, top, at, hashed
+    mixed = lambda s: F.exists(F.transform(s, lambda x, k: (top(x) == top(F.get(s, k + 1))) & ~same(place(x), place(F.get(s, k + 1)))), lambda b: F.coalesce(b, F.lit(False)))
+    full = lambda i: F.struct(hashed(i).alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
+    by_words = F.transform(F.array(F.array_sort(F.transform(at, full))), lambda s: F.transform(found(s, lambda x: x["h"], lambda x: x["i"]), lambda x: x["i"]))
+    by_hash = F.transform(
+        F.array(packed), lambda s: F.when(mixed(s), F.get(by_words, F.lit(0))).otherwise(F.transform(found(s, top, place), place))
+    )
+    return (
+        F.when(F.size(w) < 3, F.array().cast("array<int>"))
+        .when(F.size(w) < (1 << _PACK), F.get(by_hash, F.lit(0)))
+        .otherwise(F.get(by_words, F.lit(0)))
+    )
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,15 +73,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace("text", "[^.,;:!?]+", "")).cast("long").alias("n_stops"),
     )
-    w, none = F.col("w"), F.array().cast("array<bigint>")
-    packed, found, place, top, at, hashed = _repeats(w)
-    wide = F.array_sort(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
-    short = (F.size(w) >= 3) & (F.size(w) < (1 << _PACK))
-    d = d.select("*", F.when(short, packed).otherwise(none).alias("packed"))
-    p = F.col("packed")
-    long_places = F.transform(found(wide, lambda x: x["h"], lambda x: x["i"]), lambda x: x["i"])
-    places = F.when(short, F.transform(found(p, top, place), place)).when(F.size(w) >= 3, long_places).otherwise(F.array().cast("array<int>"))
-    d = d.select("*", F.sort_array(places).alias("places"))
+    d = d.select("*", F.sort_array(_repeats(F.col("w"))).alias("places"))
     return d.select(
         *along, "doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),

@@ -60,8 +60,9 @@ def test_quality(spark, docs, empty):
     assert quality_rules.quality_rules(empty, labels.limit(0)).count() == 0
 
 
-def test_wide_windows_agree(docs, monkeypatch):
-    monkeypatch.setattr(quality_rules, "_PACK", 4)
+@pytest.mark.parametrize("bits", [4, 60])
+def test_repeated_windows_with_long_texts_and_short_hashes(docs, monkeypatch, bits):
+    monkeypatch.setattr(quality_rules, "_PACK", bits)  # 4: texts of 16 words are long; 60: hashes of four bits
     for r in quality_rules.statistics(docs.where("length(text) < 3000")).collect():
         assert r.n_repeat_words == B.base_statistics(TEXT[r.doc_id])[4]
 
