@@ -81,12 +81,30 @@ def job_settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Bytes of text (or ids) of one partition where an operator deals rows, and the most partitions of one exchange.
+PART = 64 << 20
+MOST = 1 << 16
+
+
+def parts_for(spark: SparkSession, size: int) -> int | None:
+    """Partitions of about PART bytes each, or None where the session's own number of them holds no more than that."""
+    n = min(-(-size // PART), MOST)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *by, ranges: bool = False) -> DataFrame:
+    """Repartitioned by these columns, by hash or range; without a number the session's, which the engine may adapt."""
+    how = df.repartitionByRange if ranges else df.repartition
+    return how(parts, *by) if parts else how(*by)
+
+
 class Tables:
     """Written intermediate tables.  They cut lineage, survive lost executors, and go once they are superseded."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[str, str] = {}
+        self.parts: int | None = None
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = new_path(self.spark, name)

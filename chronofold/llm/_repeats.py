@@ -16,14 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Tables, hadoop, texts
+from ._common import Tables, dealt, hadoop, parts_for, texts
 
 
 def numbered(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
-    """Written table (row, doc_id, body): row numbers follow doc_id, null ids last; row >> 33 is the segment."""
+    """Written table (row, doc_id, body): row numbers follow doc_id, null ids last; row >> 33 is the segment.
+
+    Segments are sized by the bytes of all texts, and by_segment deals as many partitions.
+    """
+    size = texts(docs, id_col, text_col).agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+    tables.parts = parts_for(tables.spark, size or 0)
     d = texts(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     order = F.col("doc_id").asc_nulls_last()
-    d = d.repartitionByRange(order).sortWithinPartitions(order)
+    d = dealt(d, tables.parts, order, ranges=True).sortWithinPartitions(order)
     return tables.write(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body"), "numbered")
 
 
@@ -174,11 +179,11 @@ def repeated_keys(rows: DataFrame, tables: Tables, keys_of: Callable, most: int
     """Written table (segment, keys): each segment's minimizers that repeat somewhere."""
     n = buckets_for(tables)  # tasks; four ranges for each, so that hashing deals them evenly
     seen = rows.select("row", "body").mapInArrow(_seen(keys_of, n.bit_length() + 1, most), "bucket int, segment long, keys binary")
-    dealt = seen.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return tables.write(dealt.mapInArrow(_twice(), "segment long, keys binary"), "repeated", "none")
+    ranges = seen.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return tables.write(ranges.mapInArrow(_twice(), "segment long, keys binary"), "repeated", "none")
 
 
-def by_segment(*frames: DataFrame) -> DataFrame:
+def by_segment(parts: int | None, *frames: DataFrame) -> DataFrame:
     """Rows (segment, kind, row, a, b, doc_id, body) of all frames, each segment in one task, by row and kind.
 
     A frame without a row (answers for a whole segment) comes before all documents of its segment.
@@ -190,7 +195,7 @@ def by_segment(*frames: DataFrame) -> DataFrame:
         segment = F.col("segment") if "segment" in have else F.shiftright("row", 33)
         d = f.select(segment.alias("segment"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in names.items()])
         out = d if out is None else out.unionByName(d)
-    return out.repartition("segment").sortWithinPartitions("segment", F.col("row").asc_nulls_first(), "kind", "a", "b")
+    return dealt(out, parts, "segment").sortWithinPartitions("segment", F.col("row").asc_nulls_first(), "kind", "a", "b")
 
 
 def is_in(values, keys):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Tables, gathered, texts
+from ._common import Tables, dealt, gathered, parts_for, texts
 from .minhash import mix
 from .word_bpe import tokenized
 
@@ -279,5 +279,6 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 4096, end_id: int =
     idf = [math.log(1 + (n_docs - c + 0.5) / (c + 0.5)) for c in counts[2:]]
     average = max(1.0, total / max(1, n_docs))
     keyed = made.where("n >= 0").select("doc_id", "tokens").mapInArrow(_keyed(idf, average, kind), "key long, doc_id long, tokens binary")
-    rows = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "tokens")
+    parts = parts_for(spark, total * int(kind[-1]))
+    rows = dealt(keyed, parts, "key", "doc_id", ranges=True).sortWithinPartitions("key", "doc_id").select("doc_id", "tokens")
     return rows.mapInArrow(_packer(idf, average, window, kind, shard_docs, shard_tokens), PIECES)

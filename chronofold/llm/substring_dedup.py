@@ -210,7 +210,7 @@ def _words_at(span: int):
     return run
 
 
-def _settled(wrong: DataFrame, bodies: DataFrame, span: int) -> DataFrame:
+def _settled(wrong: DataFrame, bodies: DataFrame, span: int, parts: int | None) -> DataFrame:
     """Removed edges (row, pos, n = 1) among those of failed paths.
 
     All edges of one label but the first hang on another edge of that label.  So an edge whose words also start earlier
@@ -219,7 +219,7 @@ def _settled(wrong: DataFrame, bodies: DataFrame, span: int) -> DataFrame:
     steps = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
     each = wrong.select("row", "pos", "orow", "opos", steps)
     edges = each.select("row", (F.col("pos") + F.col("k")).alias("a")).union(each.select("orow", F.col("opos") + F.col("k"))).distinct()
-    found = by_segment(edges.select("row", F.lit(0).alias("kind"), "a"), bodies).mapInArrow(_words_at(span), "row long, pos long, words binary")
+    found = by_segment(parts, edges.select("row", F.lit(0).alias("kind"), "a"), bodies).mapInArrow(_words_at(span), "row long, pos long, words binary")
     first = found.groupBy("words").agg(F.min(F.struct("row", "pos")).alias("o"))
     return found.join(first, "words").where("row <> o.row or pos <> o.pos").select("row", "pos", F.lit(1).alias("n"))
 
@@ -236,7 +236,7 @@ def substring_dedup(docs: DataFrame, span: int = 20, id_col: str = "doc_id", tex
     rows = numbered(docs, tables, id_col, text_col)
     bodies = lambda kind: rows.select("row", F.lit(kind).alias("kind"), "doc_id", "body")
     keys = repeated_keys(rows, tables, _keys(span))
-    inputs = by_segment(keys.select("segment", F.lit(0).alias("kind"), F.col("keys").alias("body")), bodies(1))
+    inputs = by_segment(tables.parts, keys.select("segment", F.lit(0).alias("kind"), F.col("keys").alias("body")), bodies(1))
     found = tables.write(inputs.mapInArrow(_edges(span, label_bits), PATH), "edges")
     tables.drop("repeated")
     first = F.first(F.struct("row", "pos")).over(Window.partitionBy("h", "g").orderBy("row", "pos"))
@@ -247,12 +247,12 @@ def substring_dedup(docs: DataFrame, span: int = 20, id_col: str = "doc_id", tex
     tables.drop("edges")
     spans = lambda d: d.select("row", F.lit(0).alias("kind"), F.col("pos").alias("a"), F.col("n").alias("b")).distinct()
     source = paths.select(F.col("orow").alias("row"), F.lit(1).alias("kind"), F.col("opos").alias("a"), F.col("n").alias("b")).distinct()
-    done = tables.write(by_segment(spans(paths), source, bodies(2)).mapInArrow(_finish(span), FINAL), "done")
+    done = tables.write(by_segment(tables.parts, spans(paths), source, bodies(2)).mapInArrow(_finish(span), FINAL), "done")
     digests = done.where("digest is not null").select("row", "a", "b", "digest")
     sides = [digests.select(F.col("row").alias(r), F.col("a").cast("int").alias(p), F.col("b").cast("int").alias("n"), F.col("digest").alias(d)) for r, p, d in (("row", "pos", "own"), ("orow", "opos", "source"))]
     wrong = tables.write(paths.join(sides[0], ["row", "pos", "n"]).join(sides[1], ["orow", "opos", "n"]).where("own <> source").select(*columns), "wrong")
     if not wrong.isEmpty():
         held = paths.join(wrong, list(columns), "left_anti").select("row", "pos", "n")
-        done = tables.write(by_segment(spans(held.union(_settled(wrong, bodies(1), span))), bodies(2)).mapInArrow(_finish(span), FINAL), "done")
+        done = tables.write(by_segment(tables.parts, spans(held.union(_settled(wrong, bodies(1), span, tables.parts))), bodies(2)).mapInArrow(_finish(span), FINAL), "done")
     tables.drop("numbered", "paths", "wrong")
     return done.where("digest is null").select("doc_id", "n_words", "n_removed", "text")

@@ -409,7 +409,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     rows = numbered(docs, tables, id_col, text_col)
     bodies = rows.select("row", F.lit(1).alias("kind"), "doc_id", "body")
     keys = repeated_keys(rows, tables, _keys(span))
-    found = tables.write(by_segment(keys.select("segment", F.lit(0).alias("kind"), F.col("keys").alias("body")), bodies).mapInArrow(_pieces_out(span), PIECE), "pieces")
+    found = tables.write(by_segment(tables.parts, keys.select("segment", F.lit(0).alias("kind"), F.col("keys").alias("body")), bodies).mapInArrow(_pieces_out(span), PIECE), "pieces")
     tables.drop("repeated")
     pieces = found.where("n > 0")
     # the smallest document of each content; contents of each minimizer
@@ -429,7 +429,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     copies = placed.where("m is null").select("row", F.col("pos").alias("s"), end.alias("e"))
     extra = F.concat_ws(" ", F.col("rank").cast("string"), F.col("hot").cast("int").cast("string")).cast("binary")
     wanted = placed.where("m is not null").select("row", F.lit(0).alias("kind"), F.col("pos").alias("a"), F.col("n").cast("long").alias("b"), F.col("m").alias("doc_id"), extra.alias("body"))
-    whole = tables.write(by_segment(wanted, bodies).mapInArrow(_contents(span), CONTENT), "whole")
+    whole = tables.write(by_segment(tables.parts, wanted, bodies).mapInArrow(_contents(span), CONTENT), "whole")
     usual = whole.where("not hot").drop("hot").repartition("m").sortWithinPartitions("m").mapInArrow(_sorted_pieces(span), SPANS)
     windows = tables.write(whole.where("hot").select("rank", "row", "pos", "n", "content").mapInArrow(_windows(span), WINDOW), "windows")
     least = windows.groupBy("window").agg(F.min("rank").alias("least"))
@@ -437,7 +437,7 @@ def suffix_dedup(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_c
     covered = tables.write(usual.union(many), "covered")
     tables.drop("whole", "windows")
     spans = copies.union(covered).select("row", F.lit(0).alias("kind"), F.col("s").alias("a"), F.col("e").alias("b"))
-    out = tables.write(by_segment(spans, bodies).mapInArrow(_finish(), FINAL), "kept")
+    out = tables.write(by_segment(tables.parts, spans, bodies).mapInArrow(_finish(), FINAL), "kept")
     tables.drop("numbered", "placed", "covered")
     return out
 

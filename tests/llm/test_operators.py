@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute as B  # noqa: E402
 
-from chronofold.llm import exact_dedup, minhash, packing, quality_rules, secret_scan, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, warc  # noqa: E402
+from chronofold.llm import _common, exact_dedup, minhash, packing, quality_rules, secret_scan, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, warc  # noqa: E402
 from chronofold.llm._common import new_path  # noqa: E402
 from chronofold.llm.queries import tokenizer_path  # noqa: E402
 
@@ -182,6 +182,22 @@ def test_words(docs, empty, bits):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_parts_by_bytes(spark, docs, monkeypatch):
+    """Segments and ranges of about 2,000 bytes instead of 64 MB: the same words and bytes go, every id is packed once."""
+    monkeypatch.setattr(_common, "PART", 2_000)
+    assert _common.parts_for(spark, 300_000) == 150 and _common.parts_for(spark, 1 << 60) == _common.MOST
+    assert _common.parts_for(spark, 0) is None and _common.parts_for(spark, 2_000) is None
+    monkeypatch.setattr(_common, "PART", 8_000)
+    want = B.word_repeats(ROWS)
+    for r in substring_dedup.substring_dedup(docs).collect():
+        assert r.n_removed == sum(want[r.doc_id][1])
+    want = B.byte_repeats(ROWS)
+    for r in suffix_dedup.suffix_dedup(docs).collect():
+        assert r.n_removed == sum(want[r.doc_id][1])
+    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json")).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(pieces) == len(ROWS) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
