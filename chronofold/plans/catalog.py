@@ -194,9 +194,7 @@ def window_shapes(spark, d):
 
 
 def pair_correlation(spark, d):
-    w = D.windows(spark, d).select("example_id", "ifo", "samples")
-    a, b = (w.where(F.col("ifo") == i).select("example_id", F.col("samples").alias(n)) for i, n in (("L1", "x"), ("H1", "y")))
-    return a.join(b, "example_id").select("example_id", F.round(A.pearson(F.col("x"), F.col("y")), 6).alias("r"))
+    return D.window_pairs(spark, d).select("example_id", "pair", F.round(A.pearson(F.col("x"), F.col("y")), 6).alias("r"))
 
 
 def network_snr(spark, d):
@@ -279,7 +277,11 @@ def oracle_sql() -> dict[str, str]:
         "window_amplitudes": f"WITH {WIN} SELECT vec_id, round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64), 6) AS hrss, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS hpeak, round(list_sum(x) / len(x), 6) AS mean, round(list_max(x), 6) AS high, round(list_min(x), 6) AS low FROM w",
         "window_shapes": f"""WITH {WIN}, m AS (SELECT *, list_sum(x) / len(x) AS a FROM w) SELECT vec_id, round({SUM.format(a='list_transform(x, lambda q: q - a)')}, 5) AS detrended, round({SUM.format(a='x[17:48]')}, 5) AS cropped,
             round({SUM.format(a='x[1:64:4]')}, 5) AS decimated, round({SUM.format(a='list_reverse(x)')}, 5) AS reversed, (len(x) - 16) // 8 + 1 AS frames FROM m""",
-        "pair_correlation": f"""WITH {WIN}, p AS (SELECT l.example_id, unnest(l.x) AS a, unnest(h.x) AS b FROM w l JOIN w h ON l.example_id = h.example_id AND l.ifo = 'L1' AND h.ifo = 'H1') SELECT example_id, round(corr(a, b), 6) AS r FROM p GROUP BY 1""",
+        "pair_correlation": f"""
+            WITH {WIN},
+                 p AS (SELECT l.example_id, l.ifo || '-' || h.ifo AS pair, unnest(l.x) AS a, unnest(h.x) AS b
+                       FROM w l JOIN w h ON l.example_id = h.example_id AND l.vec_id % 3 < h.vec_id % 3)
+            SELECT example_id, pair, round(corr(a, b), 6) AS r FROM p GROUP BY 1, 2""",
         "network_snr": f"WITH {WIN} SELECT example_id, round(sqrt(sum(list_sum(list_transform(x, lambda v: v * v)))), 6) AS snr FROM w GROUP BY 1",
         "mass_grid": "SELECT CAST(a AS DOUBLE) AS m1, CAST(b AS DOUBLE) AS m2, round(pow(CAST(a * b AS DOUBLE), 0.6) / pow(CAST(a + b AS DOUBLE), 0.2), 6) AS chirp FROM range(5, 41) x(a), range(5, 41) y(b) WHERE a >= b",
         "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2",

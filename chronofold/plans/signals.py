@@ -89,10 +89,8 @@ def series_triggers(spark, d):
 
 
 def shift_correlation(spark, d):
-    w = D.windows(spark, d).select("example_id", "ifo", "samples")
-    a, b = (w.where(F.col("ifo") == i).select("example_id", F.col("samples").alias(n)) for i, n in (("L1", "x"), ("H1", "y")))
-    r = a.join(b, "example_id").select("example_id", A.rolling_pearson(F.col("x"), F.col("y"), 4).alias("r"))
-    return _bins(r, "example_id", "r", "shift").select("example_id", "shift", F.round("v", 6).alias("r"))
+    r = D.window_pairs(spark, d).select("example_id", "pair", F.posexplode(A.rolling_pearson(F.col("x"), F.col("y"), 4)).alias("shift", "v"))
+    return r.select("example_id", "pair", "shift", F.round("v", 6).alias("r"))
 
 
 def line_residuals(spark, d):
@@ -261,8 +259,15 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC) AS place FROM c) SELECT vec_id, round(r, 6) AS snr, CAST(t AS INTEGER) AS template, CAST(n AS INTEGER) AS sample FROM b WHERE place = 1""",
         "series_triggers": f"""WITH RECURSIVE {WIN}, p AS (SELECT vec_id, i, abs(x[i + 1]) AS v FROM w, range(64) t(i) WHERE abs(x[i + 1]) > 0.15), a AS (SELECT vec_id, min(i) AS i FROM p GROUP BY vec_id UNION ALL SELECT a.vec_id, min(p.i) FROM a JOIN p ON p.vec_id = a.vec_id AND p.i >= a.i + 8 GROUP BY a.vec_id),
             g AS (SELECT a.vec_id, p.i, p.v, row_number() OVER (PARTITION BY a.vec_id, a.i ORDER BY p.v DESC, p.i) AS place FROM a JOIN p ON p.vec_id = a.vec_id AND p.i >= a.i AND p.i < a.i + 8) SELECT vec_id, CAST(i AS INTEGER) AS time_index, round(v, 9) AS snr FROM g WHERE place = 1""",
-        "shift_correlation": f"""WITH {WIN}, m AS (SELECT example_id, ifo, list_transform(x, lambda v: v - list_sum(x) / 64) AS x FROM w), p AS (SELECT l.example_id, l.x AS a, h.x AS b FROM m l JOIN m h ON l.example_id = h.example_id AND l.ifo = 'L1' AND h.ifo = 'H1')
-            SELECT example_id, CAST(o AS INTEGER) AS shift, round(list_sum(list_transform(range(64), lambda i: a[i + 1] * b[(i - 4 + o + 64) % 64 + 1])) / (sqrt(list_sum(list_transform(a, lambda v: v * v)) * list_sum(list_transform(b, lambda v: v * v))) + 1e-5), 6) AS r FROM p, range(8) t(o)""",
+        "shift_correlation": f"""
+            WITH {WIN},
+                 m AS (SELECT vec_id, example_id, ifo, list_transform(x, lambda v: v - list_sum(x) / 64) AS x FROM w),
+                 p AS (SELECT l.example_id, l.ifo || '-' || h.ifo AS pair, l.x AS a, h.x AS b
+                       FROM m l JOIN m h ON l.example_id = h.example_id AND l.vec_id % 3 < h.vec_id % 3),
+                 s AS (SELECT *, sqrt(list_sum(list_transform(a, lambda v: v * v)) * list_sum(list_transform(b, lambda v: v * v))) + 1e-5 AS size FROM p)
+            SELECT example_id, pair, CAST(o AS INTEGER) AS shift,
+                   round(list_sum(list_transform(range(64), lambda i: a[i + 1] * b[(i - 4 + o + 64) % 64 + 1])) / size, 6) AS r
+            FROM s, range(8) t(o)""",
         "line_residuals": f"WITH {WIN}, {points}, f AS (SELECT vec_id, regr_slope(v, i) AS s, regr_intercept(v, i) AS c FROM e GROUP BY vec_id) SELECT e.vec_id, round(sum((v - c - s * i) * i * (i + 1)), 5) AS residual FROM e JOIN f ON e.vec_id = f.vec_id GROUP BY e.vec_id",
         "scaled_windows": f"WITH {WIN}, m AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) AS a, list_max(list_transform(x, lambda v: abs(v))) AS b FROM w) SELECT vec_id, round({of('x')} * 2 / (a + 1e-7), 5) AS hrss, round({of('x')} * 2 / (b + 1e-7), 5) AS hpeak FROM m",
         "window_extraction": f"WITH {WIN} SELECT vec_id, round({of('x[25:40]')}, 5) AS on, round({of('list_concat(list_transform(range(8), lambda q: x[1]), x[1:24])')}, 5) AS off, round({of('list_concat(list_transform(range(8), lambda q: x[1]), x[1:8])')}, 5) AS padded FROM w",

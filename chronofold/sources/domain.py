@@ -38,6 +38,14 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.floor(F.col("vec_id") / 3).cast("long").alias("example_id"), _ifo(F.col("vec_id")).alias("ifo"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"), "label")
 
 
+def window_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example_id, pair, x, y): the windows of every two detectors of an example, in the detectors' order."""
+    w = windows(spark, sf_dir).select("example_id", "ifo", (F.col("vec_id") % 3).alias("k"), "samples")
+    x, y = (w.select("example_id", *[F.col(c).alias(f"{c}_{n}") for c in ("ifo", "k", "samples")]) for n in "xy")
+    both = x.join(y, "example_id").where("k_x < k_y")
+    return both.select("example_id", F.concat_ws("-", "ifo_x", "ifo_y").alias("pair"), F.col("samples_x").alias("x"), F.col("samples_y").alias("y"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, truth, snr, score): labelled examples; the text column is never read."""
     from chronofold.functions.expressions import uniform
