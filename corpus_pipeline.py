@@ -5,10 +5,15 @@ them again, so no stage is computed twice and a lost executor costs one stage's
 one: null and repeated ids stay what they are, a null text counts as empty, rows that repeat a text go in the exact
 stage, an empty table gives no pieces, and columns beyond those of documents are dropped by the first stage; missing
 lang, source or n_chars come out as null.
+
+A stage's docs are its predecessor's rows, written and read again; so what the stages before it wrote on their way for
+the same sf_dir goes as a stage begins, and run() drops it as soon as the stage is written.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KINDS = ("long", "string", "string", "string", "long")
 
 
+#: Tables that a stage wrote on its way and its result still reads, by (application, sf_dir, stage).
+_left: dict[tuple[str, str, str], set[str]] = {}
+
+
+def _drop(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
+    for name in names:
+        remove(spark, *_left.pop((spark.sparkContext.applicationId, sf_dir, name), ()))
+
+
+def _staged(name: str, stage, earlier: list[str]):
+    """The stage, which first drops what the earlier ones left and then notes its own."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _drop(spark, sf_dir, earlier)
+        before = live()
+        out = stage(spark, docs, sf_dir)
+        _left.setdefault((spark.sparkContext.applicationId, sf_dir, name), set()).update(live() - before)
+        return out
+
+    return run_stage
+
+
 def _kept(verdicts: DataFrame) -> DataFrame:
     """The rows that a verdict keeps, each by its own: ids may be null or repeated."""
     return verdicts.where("kept").select("row.*")
@@ -61,7 +89,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_dedup", near), ("secret_scan", secrets), ("packing", packed)]
+_PLAIN = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_dedup", near), ("secret_scan", secrets), ("packing", packed)]
+STAGES = [(name, _staged(name, stage, [n for n, _ in _PLAIN[:k]])) for k, (name, stage) in enumerate(_PLAIN)]
 
 #: SQL cannot express learned rules, MinHash components or tokenizer packing.
 ORACLE_SQL = None
@@ -70,9 +99,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, docs = Tables(spark), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        before = live()
         docs = tables.write(stage(spark, docs, sf_dir), name)
-        remove(spark, *(live() - before - {tables.paths[name]}))  # what the stage itself wrote on its way
+        _drop(spark, sf_dir, [name])
         if k:
             tables.drop(STAGES[k - 1][0])
     return docs
