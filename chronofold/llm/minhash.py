@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Tables, texts
+from ._repeats import slices
 
 #: A pair at the threshold 0.8 shares no band with probability (1 - 0.8**5)**32, about 3 in a million.
 BANDS, ROWS = 32, 5
@@ -122,8 +123,7 @@ def _features(size: int, bands: int, rows: int):
 
         signer = Signer(bands, rows)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in slices(whole, "text", most=4 << 20, rows=500):
                 n, prints, keys, sigs, seen = [], [], [], [], {}
                 for s in shingle_sets(b["text"], size):
                     n.append(len(s))
@@ -148,8 +148,7 @@ def _sets(size: int):
         import xxhash
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in slices(whole, "text", most=4 << 20, rows=500):
                 sets = [s.tobytes() for s in shingle_sets(b["text"], size)]
                 right = pa.array([xxhash.xxh3_128_digest(s) == fp for s, fp in zip(sets, b["fp"].to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "shingles"]).filter(right)
