@@ -541,11 +541,11 @@ BURST = f"""b AS (SELECT p_partkey, 4 + {u('p_partkey', 'f')} * 8 AS f, {u('p_pa
     v AS (SELECT p_partkey, shift, hit, list_transform(y[17 - shift:80 - shift], lambda v: CASE WHEN hit THEN v ELSE 0.0 END) AS y FROM s), a AS (SELECT *, sqrt(list_sum(list_transform(y, lambda v: v * v))) AS snr FROM v)"""
 
 
-def _injections(spark, d):
-    """(p_partkey, hit, shift, snr, x): bursts scaled to a ratio of 8 in white noise, for half of the examples."""
+def _injections(c):
+    """Rows by p_partkey with (y, shift, hit, snr, x): bursts scaled to a ratio of 8 in white noise, for half of the examples."""
     k = F.col("p_partkey")
     long = V.sine_gaussian(96, 1.5, 4 + X.uniform(k, "f") * 8, F.lit(9.0), F.lit(1.0), X.uniform(k, "ph") * V.TWO_PI)
-    c = D.event_catalogue(spark, d).select("p_partkey", "mass1", long.alias("y"), (F.floor(X.uniform(k, "shift") * 17).cast("int") - 8).alias("shift"), (X.uniform(k, "chance") < 0.5).alias("hit"))
+    c = c.select("*", long.alias("y"), (F.floor(X.uniform(k, "shift") * 17).cast("int") - 8).alias("shift"), (X.uniform(k, "chance") < 0.5).alias("hit"))
     c = c.withColumn("y", R.shifted_slice(F.col("y"), F.col("shift"), 64))
     c = c.withColumn("y", F.when(F.col("hit"), F.col("y")).otherwise(F.transform("y", lambda v: v * 0)))
     c = c.withColumn("snr", F.sqrt(A.total(F.transform("y", lambda v: v * v))))
@@ -556,7 +556,7 @@ def _injections(spark, d):
     {dot('list_transform(y, lambda v: v * (8 / (snr + 1e-7)))', 4)} AS total FROM a""")
 def injection_stream(spark, d):
     """Draws, waveforms longer than the window, shifted slices, masks, scaling to a target ratio, central times."""
-    c = _injections(spark, d)
+    c = _injections(D.event_catalogue(spark, d).select("p_partkey"))
     flag = F.exists("y", lambda v: (v != 0) & ~F.isnan(v)).cast("int")
     return c.select("p_partkey", "shift", flag.alias("mask"), F.round(F.sqrt(A.total(F.transform("x", lambda v: v * v))), 6).alias("ratio"), F.round((0.5 + F.col("shift") / 64) / 1.0, 9).alias("centre"), _dot(F.col("x"), 4).alias("total"))
 
@@ -565,8 +565,12 @@ def injection_stream(spark, d):
     SELECT vec_id, CASE WHEN hit THEN 1 ELSE 0 END AS label, round(sqrt(list_sum(list_transform(y, lambda v: v * v))), 6) AS snr, CASE WHEN hit THEN mass1 ELSE -1.0 END AS mass, {dot('list_transform(range(1, 65), lambda i: x[i] + y[i])', 4)} AS onsource,
     round(list_max(list_transform(x[1:32], lambda v: abs(v))), 6) AS offsource_peak FROM e""")
 def labelled_examples(spark, d):
-    """Windows with and without injections, their label, and the requested variables."""
-    w = D.windows(spark, d).select("vec_id", "samples").join(_injections(spark, d).withColumnRenamed("p_partkey", "vec_id"), "vec_id")
+    """Windows with and without injections, their label, and the requested variables.  Windows meet keys and masses
+    before bursts are computed, by a merge: from the size of its file, the planner takes the catalogue for far smaller
+    than its rows are and would broadcast it."""
+    c = D.event_catalogue(spark, d).select("p_partkey", "mass1").hint("merge")
+    w = D.windows(spark, d).select(F.col("vec_id").alias("p_partkey"), "samples").join(c, "p_partkey")
+    w = _injections(w).withColumnRenamed("p_partkey", "vec_id")
     variables = {
         "label": F.when(F.col("hit"), 1).otherwise(0), "snr": F.round(F.sqrt(A.total(F.transform("x", lambda v: v * v))), 6), "mass": F.when(F.col("hit"), F.col("mass1")).otherwise(-1.0),
         "onsource": _dot(F.zip_with("samples", "x", lambda a, b: a + b), 4), "offsource_peak": F.round(A.peak(F.slice("samples", 1, 32)), 6), "shift": F.col("shift"),
